@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import deep_shallow
 from quillstone.llm.common import map_arrow, ship, slices, stored, table, text_bytes
+from quillstone.llm.hashing import mix
+from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, place, row, schema, unpack_all
 
 LENGTH = 100
 GRAM = 24
@@ -40,44 +41,6 @@ GRAM = 24
 CHUNK, FLUSH, BUCKET = 1 << 20, 24 << 20, 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
-_BLOB = "bucket int, kind int, data binary"
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    sizes = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
-
-
-def unpack(blob: bytes, *types) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, n, 8).tolist()
-    out, at = [], 8 * (n + 1)
-    for size, t in zip(sizes, types, strict=True):
-        out.append(np.frombuffer(raw, t, size // np.dtype(t).itemsize, at))
-        at += size
-    return out
-
-
-def unpack_all(blobs: list[bytes], *types) -> list[np.ndarray]:
-    parts = [unpack(b, *types) for b in blobs]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(types)]
-
-
-def _row(bucket: int, kind: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["bucket", "kind", "data"])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def place(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
-    return (_mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tags.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-
-
 class _Hasher:
     """Two polynomial hashes, modulo 2**64 over random byte values, of any substring of a chunk from prefix sums."""
 
@@ -96,7 +59,7 @@ class _Hasher:
         return sums
 
     def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-        return _mix((sums[ends] - sums[starts]) * self.inverses[which][starts])
+        return mix((sums[ends] - sums[starts]) * self.inverses[which][starts])
 
 
 _HASHERS: dict[int, _Hasher] = {}
@@ -131,7 +94,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     h = hasher(n)
     sums = h.prefix(data, 0)
     starts = np.arange(n - gram + 1)
-    grams = _mix((sums[gram:] - sums[:-gram]) * h.inverses[0][: n - gram + 1])
+    grams = mix((sums[gram:] - sums[:-gram]) * h.inverses[0][: n - gram + 1])
     place_bits = np.uint64(24)
     keyed = (grams >> place_bits << place_bits) | starts.astype(np.uint64)
     picked = (_window_min(keyed, length - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)  # of window i
@@ -145,8 +108,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     lows, highs = lows[good], highs[good]
     at = picked[lows]
     second = h.prefix(data, 1)
-    context = h.of(second, lows, highs + length, 1) + _mix(((at - lows) * 4096 + highs - lows).astype(np.uint64))
-    return doc[lows], at, lows, highs, grams[at], _mix(context)
+    context = h.of(second, lows, highs + length, 1) + mix(((at - lows) * 4096 + highs - lows).astype(np.uint64))
+    return doc[lows], at, lows, highs, grams[at], mix(context)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,16 +133,6 @@ _SPAN = (np.int64, np.int64, np.uint32, np.uint32)  # id, tag, first window star
 REPEAT, PARTIAL, TEXT, SPAN = 0, 1, 2, 3
 
 
-def _by_bucket(buckets: np.ndarray, kind: int, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if not len(buckets):
-        return
-    order = np.argsort(buckets, kind="stable")
-    sorted_ = buckets[order]
-    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-        yield _row(int(sorted_[a]), kind, pack(*(x[order[a:b]] for x in arrays)))
-
-
 def _send_anchors(length: int, gram: int, buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -187,7 +140,7 @@ def _send_anchors(length: int, gram: int, buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-            yield from _by_bucket((arrays[0] % np.uint64(buckets)).astype(np.int32), PARTIAL, arrays)
+            yield from by_bucket((arrays[0] % np.uint64(buckets)).astype(np.int32), PARTIAL, arrays)
 
         for data, bounds, ids, tags, starts in _pieces(batches, length):
             doc, at, lows, highs, grams, contexts = anchors(data, bounds, length, gram)
@@ -203,14 +156,6 @@ def _send_anchors(length: int, gram: int, buckets: int):
     return task
 
 
-def _first_of(*keys: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
 def _meet(buckets: int):
     """Anchors of a bucket: repeats from end to end, and contexts whose gram has others."""
 
@@ -225,10 +170,10 @@ def _meet(buckets: int):
         grams, contexts, ids, tags, places, least, most = (x[keep] for x in (grams, contexts, ids, tags, places, least, most))
         order = np.lexsort((places, tags, ids, contexts, grams))
         grams, contexts, ids, tags, places, least, most = (x[order] for x in (grams, contexts, ids, tags, places, least, most))
-        once = _first_of(grams, contexts, ids, tags, places)  # rows that repeat a document are one
+        once = first_of(grams, contexts, ids, tags, places)  # rows that repeat a document are one
         grams, contexts, ids, tags, places, least, most = (x[once] for x in (grams, contexts, ids, tags, places, least, most))
-        head = _first_of(grams, contexts)
-        new_gram = _first_of(grams)
+        head = first_of(grams, contexts)
+        new_gram = first_of(grams)
         of = np.cumsum(new_gram) - 1
         several = np.bincount(of[head], minlength=int(of[-1]) + 1 if len(of) else 0)[of] > 1 if len(of) else np.zeros(0, bool)
         kinds = np.where(head, np.where(several, PARTIAL, -1), REPEAT)
@@ -241,23 +186,19 @@ def _meet(buckets: int):
                 first, last = at - arrays[5], at - arrays[4]
                 joined = np.lexsort((first, arrays[2], arrays[1]))
                 spans = _join_spans(*(x[joined] for x in (arrays[1], arrays[2], first, last)))
-                out += _by_bucket(place(spans[0], spans[1], buckets), SPAN, list(spans))
+                out += by_bucket(place(spans[0], spans[1], buckets), SPAN, list(spans))
             else:
-                out += _by_bucket(place(arrays[1], arrays[2], buckets), PARTIAL, arrays)
-        return pa.Table.from_batches(out, _schema())
+                out += by_bucket(place(arrays[1], arrays[2], buckets), PARTIAL, arrays)
+        return pa.Table.from_batches(out, schema())
 
     return task
 
 
-def _schema() -> pa.Schema:
-    return pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-
-
 def _join_spans(ids, tags, first, last) -> tuple[np.ndarray, ...]:
     """Runs of window starts of one document that touch or overlap, joined (input sorted by document and start)."""
     if not len(ids):
         return tuple(np.zeros(0, t) for t in _SPAN)
-    doc = np.cumsum(_first_of(ids, tags)) - 1
+    doc = np.cumsum(first_of(ids, tags)) - 1
     base = doc * np.int64(1 << 33)
     reach = np.maximum.accumulate(last + base)
     new = np.ones(len(ids), bool)
@@ -283,7 +224,7 @@ def _send_texts(buckets: int):
             cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
             for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
                 some = order[a:b]
-                yield _row(int(sorted_[a]), TEXT, pack(ids[some], tags[some], lengths[some], np.concatenate([data[ends[k] - lengths[k] : ends[k]] for k in some])))
+                yield row(int(sorted_[a]), TEXT, pack(ids[some], tags[some], lengths[some], np.concatenate([data[ends[k] - lengths[k] : ends[k]] for k in some])))
 
         for batch in slices(batches, "text", CHUNK):
             data, bounds = text_bytes(batch.column("text"))
@@ -313,17 +254,13 @@ def _blobs(group: pa.Table, kind: int) -> list[bytes]:
 
 def _find(ids, tags, of_ids, of_tags) -> np.ndarray:
     """Index of the first document with each key; every key is there."""
-    order = np.lexsort((of_tags, of_ids))
-    keys = np.empty(len(order), [("a", np.int64), ("b", np.int64)])
-    keys["a"], keys["b"] = of_ids[order], of_tags[order]
-    want = np.empty(len(ids), keys.dtype)
-    want["a"], want["b"] = ids, tags
-    first = _first_of(keys["a"], keys["b"])
-    # dense numbers of the keys, as structured search is slow
-    both, back = np.unique(np.concatenate([keys[first], want]), return_inverse=True)
-    first_of = np.zeros(len(both), np.int64)
-    first_of[back[: int(first.sum())]] = order[first]
-    return first_of[back[int(first.sum()) :]]
+    n = len(of_ids)
+    a, b = np.concatenate([of_ids, ids]), np.concatenate([of_tags, tags])
+    order = np.lexsort((b, a))  # stable: documents come before what looks for them
+    new = first_of(a[order], b[order])
+    out = np.empty(len(a), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    return out[n:]
 
 
 def _contexts(length: int, gram: int, buckets: int):
@@ -343,8 +280,8 @@ def _contexts(length: int, gram: int, buckets: int):
                 some = slice(a, a + 200_000)
                 strings = padded[at[some, None] + np.arange(reach + length)]
                 target = (grams[some] % np.uint64(buckets)).astype(np.int32)
-                out += _by_bucket(target, PARTIAL, [x[some] for x in (grams, ids, tags, places, least, most)] + [strings])
-        return pa.Table.from_batches(out, _schema())
+                out += by_bucket(target, PARTIAL, [x[some] for x in (grams, ids, tags, places, least, most)] + [strings])
+        return pa.Table.from_batches(out, schema())
 
     return task
 
@@ -388,7 +325,7 @@ def _compare(length: int, gram: int, buckets: int):
         start, stop = at - (last - 1), at - first
         order = np.lexsort((start, tags[row], ids[row]))
         spans = _join_spans(ids[row][order], tags[row][order], start[order], stop[order])
-        return pa.Table.from_batches(list(_by_bucket(place(spans[0], spans[1], buckets), SPAN, list(spans))), _schema())
+        return pa.Table.from_batches(list(by_bucket(place(spans[0], spans[1], buckets), SPAN, list(spans))), schema())
 
     return task
 
@@ -402,7 +339,7 @@ def _covered(group: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     if len(of_ids):
         head = np.lexsort((tags, ids))
         copies = np.zeros(len(ids), np.int64)  # the document that stands for each row
-        new = _first_of(ids[head], tags[head])
+        new = first_of(ids[head], tags[head])
         copies[head] = head[new][np.cumsum(new) - 1]
         doc = _find(of_ids, of_tags, ids[head[new]], tags[head[new]])
         base = bounds[head[new]][doc]
@@ -460,12 +397,12 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Data
     """Packed spans of repeated windows by document bucket, the keyed texts, and the number of buckets. docs: doc_id long, text string, tag long."""
     ship(docs.sparkSession)
     buckets = max(64, _bytes_of(docs) // BUCKET)
-    sent = map_arrow(docs, _send_anchors(length, gram, buckets), _BLOB)
-    met = stored(sent.groupBy("bucket").applyInArrow(_meet(buckets), _BLOB), "suffix-meet")
-    texts = map_arrow(docs, _send_texts(buckets), _BLOB)
+    sent = map_arrow(docs, _send_anchors(length, gram, buckets), BLOB)
+    met = stored(sent.groupBy("bucket").applyInArrow(_meet(buckets), BLOB), "suffix-meet")
+    texts = map_arrow(docs, _send_texts(buckets), BLOB)
     partial = met.where(F.col("kind") == PARTIAL)
-    contexts = texts.unionByName(partial).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), _BLOB)
-    compared = contexts.groupBy("bucket").applyInArrow(_compare(length, gram, buckets), _BLOB)
+    contexts = texts.unionByName(partial).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), BLOB)
+    compared = contexts.groupBy("bucket").applyInArrow(_compare(length, gram, buckets), BLOB)
     return met.where(F.col("kind") == SPAN).unionByName(compared), texts, buckets
 
 
