@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import byte_bpe, mixing, quality_rules, suffix_dedup
+from quillstone.llm import byte_bpe, jaccard_join, mixing, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.query,
     "op4_mixing": mixing.query,
     "op7_suffix_dedup": suffix_dedup.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op10_byte_bpe": byte_bpe.query,
 }
 
