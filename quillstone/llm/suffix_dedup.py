@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import deep_shallow
-from quillstone.llm.common import map_arrow, ship, slices, stored, table, text_bytes
+from quillstone.llm.common import map_arrow, slices, stored, table, text_bytes
 from quillstone.llm.hashing import mix
-from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, place, row, schema, unpack_all
+from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, place, row, schema, unpack, unpack_all
 
 LENGTH = 100
 GRAM = 24
@@ -208,15 +208,22 @@ def _join_spans(ids, tags, first, last) -> tuple[np.ndarray, ...]:
     return ids[starts], tags[starts], first[starts].astype(np.uint32), (reach[ends] - base[ends]).astype(np.uint32)
 
 
-def _send_texts(buckets: int):
-    """Whole texts by document bucket, a zstandard frame for each flush and bucket: ids, tags, lengths, bytes."""
+def _ipc(batch: pa.RecordBatch) -> np.ndarray:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
+def _send_texts(buckets: int, others: tuple[str, ...] = ()):
+    """Whole texts by document bucket, a zstandard frame for each flush and bucket: ids, tags, lengths, bytes, and other columns."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, rest, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            data, ids, tags = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
-            lengths = np.concatenate([h[3] for h in held])
+            data, ids, tags, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            table_ = pa.Table.from_batches(rest).combine_chunks() if others else None
             ends = np.cumsum(lengths)
             buckets_ = place(ids, tags, buckets)
             order = np.argsort(buckets_, kind="stable")
@@ -224,27 +231,30 @@ def _send_texts(buckets: int):
             cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
             for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
                 some = order[a:b]
-                yield row(int(sorted_[a]), TEXT, pack(ids[some], tags[some], lengths[some], np.concatenate([data[ends[k] - lengths[k] : ends[k]] for k in some])))
+                extra = _ipc(table_.take(pa.array(some)).combine_chunks().to_batches()[0]) if others else np.zeros(0, np.uint8)
+                yield row(int(sorted_[a]), TEXT, pack(ids[some], tags[some], lengths[some], np.concatenate([data[ends[k] - lengths[k] : ends[k]] for k in some]), extra))
 
         for batch in slices(batches, "text", CHUNK):
             data, bounds = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             held.append((data, ids, batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds)))
+            if others:
+                rest.append(batch.select(list(others)))
             size += len(data)
             if size >= FLUSH:
                 yield from flush()
-                held, size = [], 0
+                held, rest, size = [], [], 0
         if held:
             yield from flush()
 
     return task
 
 
-def _texts(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    kinds = group.column("kind").to_numpy()
-    blobs = group.column("data")
-    ids, tags, lengths, data = unpack_all([blobs[int(k)].as_py() for k in np.flatnonzero(kinds == TEXT)], np.int64, np.int64, np.int64, np.uint8)
-    return ids, tags, lengths, data
+_TEXTS = (np.int64, np.int64, np.int64, np.uint8, np.uint8)
+
+
+def _texts(group: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(unpack_all(_blobs(group, TEXT), *_TEXTS))[:4]
 
 
 def _blobs(group: pa.Table, kind: int) -> list[bytes]:
@@ -376,15 +386,22 @@ def _digest(length: int):
     return task
 
 
-def _kept_texts(length: int):
+def _kept_rows(length: int, names: list[str]):
+    """Rows with their other columns and what is left of the text."""
+
     def task(group: pa.Table) -> pa.Table:
-        ids, tags, bounds, data, gone = _covered(group, length)
-        # one text for each document: repeated rows find it by the same key
-        head = np.sort(np.unique(np.stack([ids, tags], 1), axis=0, return_index=True)[1])
-        kept = [data[bounds[d] : bounds[d + 1]][~gone[bounds[d] : bounds[d + 1]]].tobytes().decode("utf-8", "ignore") for d in head]
-        changed = [bool(gone[bounds[d] : bounds[d + 1]].any()) for d in head]
-        out = pa.table({"__id": pa.array(ids[head]), "__tag": pa.array(tags[head]), "__kept": pa.array(kept, pa.string()), "__changed": pa.array(changed)})
-        return out.filter(out["__changed"]).drop_columns(["__changed"])
+        _, _, bounds, data, gone = _covered(group, length)
+        parts = [pa.ipc.open_stream(unpack(b, *_TEXTS)[4].tobytes()).read_all() for b in _blobs(group, TEXT)]
+        if not parts:
+            return pa.table({n: pa.nulls(0) for n in [*names, "kept"]})
+        others = pa.concat_tables(parts)
+        nulls = others.column("no_text").to_pylist()
+        kept = []
+        for d, none in enumerate(nulls):
+            text = data[bounds[d] : bounds[d + 1]]
+            cut = gone[bounds[d] : bounds[d + 1]]
+            kept.append(None if none else (text[~cut] if cut.any() else text).tobytes().decode("utf-8", "ignore"))
+        return others.select(names).append_column("kept", pa.array(kept, pa.string()))
 
     return task
 
@@ -393,38 +410,42 @@ def _bytes_of(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:
-    """Packed spans of repeated windows by document bucket, the keyed texts, and the number of buckets. docs: doc_id long, text string, tag long."""
-    ship(docs.sparkSession)
-    buckets = max(64, _bytes_of(docs) // BUCKET)
+def _repeated(docs: DataFrame, texts: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
+    """Packed spans of repeated windows by document bucket. docs: doc_id long, text string, tag long; texts: what _send_texts made of them."""
     sent = map_arrow(docs, _send_anchors(length, gram, buckets), BLOB)
     met = stored(sent.groupBy("bucket").applyInArrow(_meet(buckets), BLOB), "suffix-meet")
-    texts = map_arrow(docs, _send_texts(buckets), BLOB)
     partial = met.where(F.col("kind") == PARTIAL)
     contexts = texts.unionByName(partial).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), BLOB)
     compared = contexts.groupBy("bucket").applyInArrow(_compare(length, gram, buckets), BLOB)
-    return met.where(F.col("kind") == SPAN).unionByName(compared), texts, buckets
+    return met.where(F.col("kind") == SPAN).unionByName(compared)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+def _key_columns() -> tuple:
+    return F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    found, texts, _ = spans(_keyed(docs), length, gram)
+    docs = docs.select(*_key_columns())
+    buckets = max(64, _bytes_of(docs) // BUCKET)
+    texts = map_arrow(docs, _send_texts(buckets), BLOB)
+    found = _repeated(docs, texts, length, gram, buckets)
     return texts.unionByName(found).groupBy("bucket").applyInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with repeated bytes taken out of text; a character cut at a span's edge goes whole. Other columns stay."""
-    keyed = _keyed(docs)
-    found, texts, _ = spans(keyed, length, gram)
-    found = stored(found, "suffix-spans")
-    touched = texts.unionByName(found).groupBy("bucket").applyInArrow(_kept_texts(length), "__id long, __tag long, __kept string")
-    named = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))), "__t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = named.join(touched, (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__tag")), "left")
-    return joined.withColumn("text", F.coalesce("__kept", "text")).select(docs.columns)
+    """docs with repeated bytes taken out of text; a character cut at a span's edge goes whole. Other columns travel with the text."""
+    others = [c for c in docs.columns if c != "text"]
+    safe = [f"c{k}" for k in range(len(others))]
+    full = docs.select(*_key_columns(), F.col("text").isNull().alias("no_text"), *(F.col(f"`{c}`").alias(s) for c, s in zip(others, safe, strict=True)))
+    keyed = full.select("doc_id", "text", "tag")
+    buckets = max(64, _bytes_of(keyed) // BUCKET)
+    found = _repeated(keyed, map_arrow(keyed, _send_texts(buckets), BLOB), length, gram, buckets)
+    texts = map_arrow(full, _send_texts(buckets, ("no_text", *safe)), BLOB)
+    kinds = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for c, s in zip(others, safe, strict=True))
+    rows = texts.unionByName(found).groupBy("bucket").applyInArrow(_kept_rows(length, safe), f"{kinds}, kept string" if kinds else "kept string")
+    back = dict(zip(others, safe, strict=True))
+    return rows.select(*(F.col("kept" if c == "text" else back[c]).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
