@@ -7,7 +7,8 @@ with n. So:
 1. Longest prefixes meet by token. A set that for some l has fewer than l prefix tokens in common with any other has no
    partner and leaves. Tokens repeated within a task are settled there: of a hot token one entry a task is sent.
 2. What is left meets by token again, with counts among these sets. Each drops all but one of the tokens it must share,
-   the most frequent ones first; partners still share a token. These ties give families, by connected components.
+   the most frequent ones first; partners still share a token. Ties between sets of a token whose sizes allow
+   partners give families, by connected components.
 3. Families are put together into tasks of bounded size; a family beyond it is cut into blocks, and every pair of blocks
    is a task. In a task each set is matched with its inverted prefixes: it lengthens its prefix to the length l of least
    estimated cost (postings read, and candidates to verify), and only sets that share the l tokens are verified, exactly.
@@ -247,7 +248,7 @@ def _doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls == 1), pa.array(sizes), pa.array(_key(a, b), pa.binary())], ["doc_id", "n_shingles", "key"])
 
 
-def _send_matched(bound: Bound, buckets: int):
+def _send_matched(buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [unpack_all([blob], *(np.uint64,) * 4) for blob in batch.column("data").to_pylist()]
@@ -255,8 +256,8 @@ def _send_matched(bound: Bound, buckets: int):
                 counts = [len(x[3]) for x in parts]
                 t = np.concatenate([x[3] for x in parts])
                 a, b = (np.repeat(np.concatenate([x[k] for x in parts]), counts) for k in (0, 1))
-                drop = np.repeat([int(bound.sure(len(x[2]))) - 1 for x in parts], counts).astype(np.uint32)
-                yield from by_bucket((t % np.uint64(buckets)).astype(np.int32), TOKENS, [t, a, b, drop])
+                sizes = np.repeat([len(x[2]) for x in parts], counts).astype(np.uint32)
+                yield from by_bucket((t % np.uint64(buckets)).astype(np.int32), TOKENS, [t, a, b, sizes])
 
     return task
 
@@ -268,43 +269,48 @@ def _count(buckets: int):
     """Counts of each token among the sets left, back to the sets; tokens that only one has go."""
 
     def task(group: pa.Table) -> pa.Table:
-        t, a, b, drop = unpack_all(group.column("data").to_pylist(), *_TIE)
+        t, a, b, n = unpack_all(group.column("data").to_pylist(), *_TIE)
         order = np.argsort(t, kind="stable")
-        t, a, b, drop = t[order], a[order], b[order], drop[order]
+        t, a, b, n = t[order], a[order], b[order], n[order]
         of = np.cumsum(first_of(t)) - 1
         count = np.bincount(of)[of] if len(of) else of
         some = count > 1
-        return pa.Table.from_batches(list(by_bucket((a[some] % np.uint64(buckets)).astype(np.int32), TOKENS, [t[some], a[some], b[some], drop[some], count[some].astype(np.int64)])), schema())
+        return pa.Table.from_batches(list(by_bucket((a[some] % np.uint64(buckets)).astype(np.int32), TOKENS, [t[some], a[some], b[some], n[some], count[some].astype(np.int64)])), schema())
 
     return task
 
 
-def _drop(buckets: int):
+def _drop(bound: Bound, buckets: int):
     """Each set keeps its rarest tokens: all but as many as partners must share, less one."""
 
     def task(group: pa.Table) -> pa.Table:
-        t, a, b, drop, count = unpack_all(group.column("data").to_pylist(), *_TIE, np.int64)
+        t, a, b, n, count = unpack_all(group.column("data").to_pylist(), *_TIE, np.int64)
         order = np.lexsort((t, count, b, a))
-        t, a, b, drop = t[order], a[order], b[order], drop[order]
+        t, a, b, n = t[order], a[order], b[order], n[order]
         head = np.flatnonzero(first_of(a, b))
         sizes = np.diff(np.append(head, len(t)))
         place = np.arange(len(t)) - np.repeat(head, sizes)
-        keep = place < np.repeat(sizes, sizes) - drop.astype(np.int64)
-        return pa.Table.from_batches(list(by_bucket((t[keep] % np.uint64(buckets)).astype(np.int32), TOKENS, [t[keep], a[keep], b[keep]])), schema())
+        keep = place < np.repeat(sizes, sizes) - (bound.sure(n.astype(np.int64)) - 1)
+        return pa.Table.from_batches(list(by_bucket((t[keep] % np.uint64(buckets)).astype(np.int32), TOKENS, [t[keep], a[keep], b[keep], n[keep]])), schema())
 
     return task
 
 
-def _ties(group: pa.Table) -> pa.Table:
-    """Edges from the sets of a token to the least of them."""
-    t, a, b = unpack_all(group.column("data").to_pylist(), *_TIE[:3])
-    order = np.lexsort((b, a, t))
-    t, a, b = t[order], a[order], b[order]
-    head = first_of(t)
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(t) else np.zeros(0, np.int64)
-    x = np.stack([a, b, a[lead], b[lead]], 1)[~head] if len(t) else np.zeros((0, 4), np.uint64)
-    x = np.unique(x, axis=0)
-    return pa.table({"a": pa.array(_key(x[:, 0], x[:, 1]), pa.binary()), "b": pa.array(_key(x[:, 2], x[:, 3]), pa.binary())})
+def _ties(bound: Bound):
+    """Edges between the sets of a token, by size: a run ends where the next set is too large for the one before, as no partners lie on both sides of such a gap."""
+
+    def task(group: pa.Table) -> pa.Table:
+        t, a, b, n = unpack_all(group.column("data").to_pylist(), *_TIE)
+        n = n.astype(np.int64)
+        order = np.lexsort((b, a, n, t))
+        t, a, b, n = t[order], a[order], b[order], n[order]
+        head = first_of(t)
+        head[1:] |= bound.overlap(n[1:]) > n[:-1]
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(t) else np.zeros(0, np.int64)
+        x = np.unique(np.stack([a, b, a[lead], b[lead]], 1)[~head], axis=0) if len(t) else np.zeros((0, 4), np.uint64)
+        return pa.table({"a": pa.array(_key(x[:, 0], x[:, 1]), pa.binary()), "b": pa.array(_key(x[:, 2], x[:, 3]), pa.binary())})
+
+    return task
 
 
 def spanning_links(keys: list[bytes], sets: list[np.ndarray], bound: Bound) -> list[tuple[bytes, bytes]]:
@@ -417,9 +423,9 @@ def join(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, task_token
     rows = map_arrow(left.where(F.col("kind") == DOCS), _doc_rows, "doc_id long, n_shingles long, key binary")
     chosen = left.where(F.col("kind") == TEXT)
     few = max(64, total // (8 * BUCKET))
-    counted = map_arrow(chosen, _send_matched(bound, few), BLOB).groupBy("bucket").applyInArrow(_count(few), BLOB)
-    kept = counted.groupBy("bucket").applyInArrow(_drop(few), BLOB)
-    families = components(kept.groupBy("bucket").applyInArrow(_ties, "a binary, b binary"))
+    counted = map_arrow(chosen, _send_matched(few), BLOB).groupBy("bucket").applyInArrow(_count(few), BLOB)
+    kept = counted.groupBy("bucket").applyInArrow(_drop(bound, few), BLOB)
+    families = components(kept.groupBy("bucket").applyInArrow(_ties(bound), "a binary, b binary"))
 
     sets = map_arrow(chosen, _set_rows, "key binary, n long, tokens binary")
     sizes = sets.select("key", "n").join(families, F.col("key") == F.col("node")).groupBy("root").agg(F.sum("n").alias("words"))
