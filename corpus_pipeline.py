@@ -36,10 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their count and the hash of what they decode to."""
-    vocabulary = byte_bpe.public_vocabulary()
-    ids = byte_bpe.encode_column(docs.select("doc_id", "lang", "source", "text"), *vocabulary).drop("text")
-    back = byte_bpe.decode_column(ids, *vocabulary)
-    return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = byte_bpe.encode_and_check(docs.select("doc_id", "lang", "source", "text"), *byte_bpe.public_vocabulary())
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES = [

@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -27,7 +28,7 @@ from quillstone.llm.common import map_arrow, slices, table
 
 LEAF = 48
 RUN = 65_536
-KNOWN = 300_000
+KNOWN = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -183,6 +184,29 @@ def decode_column(coded: DataFrame, path: str, pattern: str, ids: str = "ids", o
     return map_arrow(coded, task, schema)
 
 
+def encode_and_check(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs without its text, with ids (array<int>) and decoded_sha256, the hash of the bytes that the ids decode to. One worker does both, so one vocabulary is held for each task."""
+    kept = [f for f in docs.schema if f.name != text]
+    names = [f.name for f in kept]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "decoded_sha256 string"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, pattern)
+        for batch in slices(batches, text, 1 << 20):
+            values, bounds, hashes = array("i"), [0], []
+            for t in batch.column(text):
+                of_bytes = hashlib.sha256()
+                for ids in coder.runs(t.as_py() or ""):
+                    values.extend(ids)
+                    of_bytes.update(coder.decode(ids))
+                bounds.append(len(values))
+                hashes.append(of_bytes.hexdigest())
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, pa.array(hashes, pa.string())], [*names, "ids", "decoded_sha256"])
+
+    return map_arrow(docs, task, schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text: encoded and decoded run by run in one pass, so no list of ids leaves the task."""
 
