@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import language as L
 from quillstone.functions import text as T
 from quillstone.operators import chunking as C
+from quillstone.operators import document_tasks as D
 from quillstone.operators import entities as N
 from quillstone.operators import ground as G
 from quillstone.plans.registry import group
@@ -230,3 +231,28 @@ select doc_id, count(*) as n_quotes, max(n_words) as longest, sum(n_words)::bigi
 def grounded_quotes(spark, d):
     runs = G.quote_runs(G.found_windows(_pairs(spark, d)))
     return runs.groupBy("doc_id").agg(F.count("*").alias("n_quotes"), F.max("n_words").alias("longest"), F.sum("n_words").alias("n_words"))
+
+
+def _strategy(name: str):
+    def run(spark, d):
+        rows = D.chunk_documents(_docs(spark, d), name)
+        return rows.select("doc_id", "chunk_ord", "word_count", "coverage_type", "has_amounts", "has_conditions", "has_exclusions", F.round("confidence_score", 6).alias("confidence_score"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+    run.__name__ = f"{name}_chunks"
+    return run
+
+
+for _name in D.STRATEGIES:
+    query()(_strategy(_name))
+
+
+@query()
+def strategy_comparison(spark, d):
+    """Chunks, mean length, kinds of cover and amounts of each strategy; one pass over the documents for each."""
+    docs = _docs(spark, d)
+    out = None
+    for name in D.STRATEGIES:
+        rows = D.chunk_documents(docs, name)
+        got = rows.groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 4).alias("mean_length"), F.size(F.collect_set("coverage_type")).alias("kinds"), F.count_if("has_amounts").alias("n_amounts"))
+        out = got if out is None else out.unionByName(got)
+    return out
