@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import lexicon as X
 from quillstone.functions import text as T
 from quillstone.functions.embed import embed
-from quillstone.session import ship
+from quillstone.session import ship, spread
 
 
 @dataclass
@@ -537,6 +537,6 @@ def chunk_documents(docs: DataFrame, strategy: str, **settings) -> DataFrame:
                 ["doc_id", "chunk_ord", "text", "section", "coverage_type", "confidence_score", "extra"],
             )
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, chunk_ord int, text string, section string, coverage_type string, confidence_score double, extra map<string,string>")
+    made = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(task, "doc_id long, chunk_ord int, text string, section string, coverage_type string, confidence_score double, extra map<string,string>")
     full = made.withColumns({"strategy": F.lit(strategy), "chunk_id": F.concat_ws("_", "doc_id", F.lit(strategy), "chunk_ord"), "word_count": F.size(T.tokens(F.col("text"))), **T.flags(F.col("text"), "hybrid")})
     return full.select(*COLUMNS)

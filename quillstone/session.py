@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +25,13 @@ def ship(spark: SparkSession) -> None:
                     archive.write(full, os.path.join(name, os.path.relpath(full, root)))
     context.addPyFile(target)
     context._quillstone_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is small: a table that fills fewer scan splits than there are cores is dealt out evenly; a larger one stays as its scan splits it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    stated = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")
+    split = int(stated) if stated.isdigit() else 128 << 20
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
