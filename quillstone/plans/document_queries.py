@@ -23,7 +23,13 @@ def _docs(spark, d):
 _TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')"
 
 
-@query()
+@query(rf"""
+with w as (select doc_id, {_TOKENS} as ws from documents),
+c as (select doc_id, list_reduce(list_transform(ws, lambda w: [w]), lambda x, y:
+        case when len(x[len(x)]) + len(y[1]) + 2 <= 512 then list_concat(x[1:len(x) - 1], [x[len(x)] || ' ' || y[1]]) else list_concat(x, y) end) as c from w where len(ws) > 0),
+r as (select doc_id, cast(generate_subscripts(c, 1) - 1 as integer) as chunk_ord, unnest(c) as chunk from c)
+select doc_id, chunk_ord, cast(len(string_split(chunk, ' ')) as bigint) as n_words, md5(chunk) as digest from r
+""")
 def word_chunks(spark, d):
     rows = C.chunked(_docs(spark, d), C.word_chunks(F.col("text")), "simple")
     return rows.select("doc_id", "chunk_ord", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"), F.md5(F.col("text").cast("binary")).alias("digest"))
