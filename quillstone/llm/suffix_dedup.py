@@ -38,7 +38,7 @@ from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, place, row,
 LENGTH = 100
 GRAM = 24
 #: Bytes of text worked on at a time, held back before anchors are sent, and meant for one bucket.
-CHUNK, FLUSH, BUCKET = 1 << 20, 24 << 20, 16 << 20
+CHUNK, FLUSH, BUCKET = 1 << 20, 16 << 20, 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
 class _Hasher:
@@ -355,7 +355,8 @@ def _covered(group: pa.Table, length: int) -> tuple[np.ndarray, ...]:
         base = bounds[head[new]][doc]
         np.add.at(steps, base + first, 1)
         np.add.at(steps, base + last + length, -1)
-        gone = np.cumsum(steps[:-1]) > 0
+        np.cumsum(steps, out=steps)
+        gone = steps[:-1] > 0
         for d in np.flatnonzero(copies != np.arange(len(ids))):
             gone[bounds[d] : bounds[d + 1]] = gone[bounds[copies[d]] : bounds[copies[d] + 1]]
     else:
@@ -366,12 +367,14 @@ def _covered(group: pa.Table, length: int) -> tuple[np.ndarray, ...]:
 def _digest(length: int):
     def task(group: pa.Table) -> pa.Table:
         ids, _, bounds, data, gone = _covered(group, length)
-        counts = np.concatenate([[0], np.cumsum(gone)])
+        counts = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(gone, out=counts[1:])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = bounds[:-1][np.diff(bounds) > 0]
         begins[inner] = gone[inner]  # spans never go on from one document to the next
-        runs = np.concatenate([[0], np.cumsum(begins)])
+        runs = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(begins, out=runs[1:])
         kept = [hashlib.sha256(data[bounds[d] : bounds[d + 1]][~gone[bounds[d] : bounds[d + 1]]].tobytes()).hexdigest() for d in range(len(ids))]
         return pa.table(
             {
