@@ -11,13 +11,14 @@ from quillstone.operators import document_tasks as D
 from quillstone.operators import entities as N
 from quillstone.operators import ground as G
 from quillstone.plans.registry import group
+from quillstone.session import spread
 from quillstone.sources.tables import table
 
 QUERIES, SQL, query = group()
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')"
