@@ -6,8 +6,8 @@ is the encoding of its bytes if and only if every adjacent pair is the encoding
 window's first and last tokens come out as they were, the pairs across its ends are pairs that already stood in a valid
 encoding, and nothing outside can change. Until then the window doubles. Decoding concatenates bytes up the same tree.
 
-Memory: texts are cut into matches lazily and hashed in runs of RUN tokens; known pieces are kept in a table of at
-most KNOWN entries, which is emptied when full. Ranks are read once by each Python worker from the file given.
+Memory: texts are cut into matches lazily and hashed in runs of RUN tokens; known pieces are kept in two tables of at
+most KNOWN entries, the older of which is dropped when the younger is full. Ranks are read once by each Python worker from the file given.
 
 Defined cases: a null text counts as empty (no tokens, hash of nothing); special tokens are ordinary text.
 """
@@ -51,22 +51,20 @@ class Encoder:
         """Plain BPE: merge the leftmost adjacent pair of lowest rank until none is left."""
         if len(data) > 4 * LEAF:
             return self._merge_long(data)
-        ranks = self.ranks
-        parts = [data[i : i + 1] for i in range(len(data))]
-        none = len(ranks) + 1
-        scores = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        rank, none = self.ranks.get, len(self.ranks) + 1
+        cuts = list(range(len(data) + 1))  # bounds of the parts
+        scores = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
         while scores:
             best = min(scores)
             if best == none:
                 break
             i = scores.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del scores[i]
+            del cuts[i + 1], scores[i]
             if i < len(scores):
-                scores[i] = ranks.get(parts[i] + parts[i + 1], none)
+                scores[i] = rank(data[cuts[i] : cuts[i + 2]], none)
             if i:
-                scores[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
+                scores[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], none)
+        return [rank(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same with a heap over linked parts, n log n: for windows that would not stabilise."""
@@ -136,13 +134,19 @@ class Encoder:
 
 
 class _Known(dict):
+    """Encoded pieces, in two generations: when the young one is full it becomes the old one, so pieces in use stay."""
+
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass")))
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= 64:
             if len(self) >= KNOWN:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
