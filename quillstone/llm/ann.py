@@ -5,9 +5,12 @@ codes minimise |r|^2 + (eta - 1) (r . x/|x|)^2 for the residual r: error along t
 products, counts eta times. Codebooks are fitted on a bounded sample (SAMPLE rows by hash); every row is encoded.
 
 Search: rows are put in blocks by a hash of their id, queries too, and every block of queries meets every block of rows.
-There a query's tables (two subspaces to a byte of codes) are summed over the codes, the best RERANK rows go on, and their
-inner products are taken exactly in double precision. Blocks are bounded, so is a task's memory. The best of all blocks are
-merged by exact score. Equal vectors in a block are searched once and stand for their smallest ids.
+There a query's tables (two subspaces to a byte of codes) are summed over the codes. Inner products of the best RERANK rows,
+taken exactly in double precision, give a k-th best score; every other row whose score could reach it goes on as well, and
+none else: the angle between query and row is at least that between query and decoded row less that between row and decoded
+row, so the table's sum bounds the score from above. Nothing is cut, results are those of a full scan. Blocks are bounded,
+so is a task's memory. The best of all blocks are merged by exact score. Equal vectors in a block are searched once and
+stand for their smallest ids.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part; if vectors differ
 in length, only those of the commonest length (the longer on a tie) take part; a query finds all others if they are
@@ -107,6 +110,11 @@ class Quantiser:
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), self.parts // 2, 256).astype(np.float32)
 
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)
+        return self.words[np.arange(self.parts), codes].reshape(len(packed), -1)[:, : self.dimensions]
+
+
 def usable(vector: Column) -> Column:
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vector.isNotNull() & (F.size(vector) > 0) & good & F.exists(vector, lambda x: x != 0)
@@ -144,6 +152,44 @@ def best(scores: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == edge)[: n - len(above)]])
 
 
+class Bound:
+    """Greatest inner products that rows can have with a query, given their tables' sums."""
+
+    def __init__(self, rows: np.ndarray, decoded: np.ndarray, terms: int):
+        self.norm, self.decoded = np.linalg.norm(rows, axis=1), np.linalg.norm(decoded, axis=1)
+        there = self.decoded > 0
+        units = rows / self.norm[:, None]
+        along = (decoded * units).sum(1)
+        across = np.linalg.norm(decoded - along[:, None] * units, axis=1)
+        length = np.where(there, self.decoded, 1.0)
+        # a row that decodes to zero has no direction: its bound is the product of the norms
+        self.cos, self.sin = np.where(there, along / length, -1.0), np.where(there, across / length, 0.0)
+        self.rounding = 2 * (terms + 2) * float(np.finfo(np.float32).eps)
+
+    def __call__(self, rough: np.ndarray, table: np.ndarray, query: np.ndarray) -> np.ndarray:
+        q = np.linalg.norm(query)
+        slack = self.rounding * float(np.abs(table).max(1).sum())
+        c = np.clip((rough + slack) / np.maximum(q * self.decoded, np.finfo(float).tiny), -1.0, 1.0)
+        nearest = np.where(c >= self.cos, 1.0, c * self.cos + np.sqrt(1 - c * c) * self.sin)
+        return q * self.norm * (nearest + 1e-9)
+
+
+def _top(found, value, ids, by, bounds, own, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (vec_id, score) of classes of equal vectors in order of score, without the query's own id."""
+    rows, scores = [], []
+    # every class gives up to k of its smallest ids that are not the query's own
+    for c, s in zip(found.tolist(), value.tolist(), strict=True):
+        if len(rows) > k and s < scores[k]:
+            break
+        members = ids[by[bounds[c] : bounds[c + 1]]]
+        members = members[members != own][:k]
+        rows += members.tolist()
+        scores += [s] * len(members)
+    r, s = np.array(rows, np.int64), np.array(scores, float)
+    top = np.lexsort((r, -s))[:k]
+    return r[top], s[top]
+
+
 def scan(quantiser: Quantiser, query_ids, queries, ids, vectors, codes, k: int, rerank: int) -> tuple[np.ndarray, ...]:
     """The k best rows of a block for each query: query id, vec_id, exact score."""
     order = np.argsort(ids, kind="stable")
@@ -154,28 +200,31 @@ def scan(quantiser: Quantiser, query_ids, queries, ids, vectors, codes, k: int,
     bounds = np.concatenate([[0], np.cumsum(np.bincount(of))])
     distinct, columns = vectors[first], np.ascontiguousarray(codes[first].T)
     tables = quantiser.tables(queries)
+    bound = Bound(distinct, quantiser.decode(codes[first]), len(columns))
+
+    def ordered(some: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        exact = (distinct[some] * query).sum(1)
+        best_first = np.argsort(-exact, kind="stable")
+        return some[best_first], exact[best_first]
+
     out: list[tuple] = []
     for q in range(len(queries)):
         rough = np.zeros(len(first), np.float32)
         for t, c in zip(tables[q], columns, strict=True):
             rough += t[c]
-        some = best(rough, rerank)
-        exact = (distinct[some] * queries[q]).sum(1)
-        found = some[np.argsort(-exact, kind="stable")]
-        value = np.sort(-exact)
-        rows, scores = [], []
-        # classes of equal vectors give their k + 1 smallest ids, so that the query's own never costs a place
-        for c, s in zip(found.tolist(), (-value).tolist(), strict=True):
-            if len(rows) > k and s < scores[k]:
-                break
-            members = ids[by[bounds[c] : bounds[c + 1]]]
-            members = members[members != query_ids[q]][:k]
-            rows += members.tolist()
-            scores += [s] * len(members)
-        if rows:
-            r, s = np.array(rows), np.array(scores)
-            top = np.lexsort((r, -s))[:k]
-            out.append((np.full(len(top), query_ids[q]), r[top], s[top]))
+        some, query, own = best(rough, rerank), queries[q], query_ids[q]
+        r, s = _top(*ordered(some, query), ids, by, bounds, own, k)
+        if len(some) < len(first):
+            least = s[k - 1] if len(s) == k else -np.inf
+            # comparisons are turned round so that a bound that is not a number drops no row
+            more = np.flatnonzero(~(bound(rough, tables[q], query) < least))
+            # the same products by matrix, whose last bits depend on a row's place; those near the edge are summed again
+            product = distinct[more] @ query if 4 * len(more) < len(first) else (distinct @ query)[more]
+            margin = 1e-12 * (1 + len(query)) * bound.norm[more] * np.linalg.norm(query)
+            more = more[~(product < least - margin)]
+            r, s = _top(*ordered(more, query), ids, by, bounds, own, k)
+        if len(r):
+            out.append((np.full(len(r), own), r, s))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

@@ -49,6 +49,27 @@ def test_blocks_copies_and_bad_vectors(spark, monkeypatch):
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_large_groups_of_near_copies_are_searched_whole():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[0] + rng.normal(size=(1000, 64)) * 0.05 / 8
+    away = -x[:5] + rng.normal(size=(5, 64)) * 0.01
+    x = np.concatenate([x, near, away])
+    ids = np.arange(len(x))
+    quantiser = ann.Quantiser(64).fit(x[::3])
+    codes = np.frombuffer(quantiser.pack(quantiser.assign(x)).tobytes(), np.uint8).reshape(len(x), -1)
+    asks = np.concatenate([ids[:2000:50], ids[2000:3000:25], ids[3000:]])
+    of, found, scores = ann.scan(quantiser, asks, x[asks], ids, x, codes, 20, ann.RERANK)
+    for a in asks:
+        want = exact(list(enumerate(x)), x[a], a, 20)
+        assert found[of == a].tolist() == [i for i, _ in want]
+        assert scores[of == a].tolist() == [s for _, s in want]
+    # a decoded row of zeros, and fewer rows than k that score above zero, bound nothing
+    quantiser.words[:] = 0
+    assert ann.scan(quantiser, asks, x[asks], ids, x, codes, 20, ann.RERANK)[1].tolist() == found.tolist()
+
+
 def test_parallel_error_counts_more():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16))
