@@ -454,10 +454,23 @@ def join(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, task_token
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs without near copies: of each component the row of the least doc_id stays. Rows without words and rows with a null doc_id stay. Columns pass."""
-    found = join(docs, size, num, den)
-    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "join-gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """docs without near copies: of each component one row of the least doc_id stays. Rows without words and rows with a null doc_id stay. Columns pass.
+
+    Decided by row: two texts of one doc_id are two rows, of which an unlinked one stays; of equal rows one stays.
+    """
+    docs = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    found = join(docs.select(F.col("__row").alias("doc_id"), "text"), size, num, den).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__row")).agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
+    ids = docs.where(F.col("doc_id").isNotNull()).select("__row", F.col("doc_id").cast("long").alias("id")).distinct()
+    found = stored(found.join(ids, "__row"), "join-found")
+    first = found.groupBy("component").agg(F.min(F.struct("id", "__row"))["__row"].alias("first"))
+    decided = stored(found.join(first, "component").select("__row", (F.col("__row") == F.col("first")).alias("stays"), "n").where("not stays or n > 1"), "join-gone")
+    kept = docs.join(decided.where("not stays").select("__row"), "__row", "left_anti")
+    again = decided.where("stays").select("__row")
+    if not again.isEmpty():
+        single = kept.join(again, "__row", "left_semi").dropDuplicates(["__row"])
+        kept = kept.join(again, "__row", "left_anti").unionByName(single)
+    return kept.drop("__row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

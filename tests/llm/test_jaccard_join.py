@@ -87,5 +87,14 @@ def test_one_of_each_keeps_columns(spark):
     assert kept == {(1, "a", 1), (3, None, 3), (None, "c", 4), (5, "d", 5)}
 
 
+def test_one_of_each_decides_by_row(spark):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "wxy")
+    rows = [(7, other, "a"), (7, text + " more", "b"), (2, text, "c"), (2, text, "c"), (4, third, "d"), (4, third + " end", "e"), (9, "", "f"), (9, "", "f"), (11, "alone here", "g"), (11, "alone here", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r.doc_id, r.source) for r in jaccard_join.one_of_each(docs).collect())
+    assert [k for k in kept if k[0] != 4] == [(2, "c"), (7, "a"), (9, "f"), (9, "f"), (11, "g")]
+    assert len([k for k in kept if k[0] == 4]) == 1
+
+
 def test_empty(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
