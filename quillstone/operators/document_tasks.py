@@ -325,33 +325,40 @@ def semantic_graph(text: str, threshold: float = 0.75, most: int = 512, least: i
     mentions = Counter(m.group(0).lower() for p in _SENTENCE_ENTITY.values() for m in p.finditer(text))
     entities = sorted(e for e, c in mentions.items() if c >= 2)
     vectors = embed([*sentences, *entities])
-    weights: dict[tuple[int, int], float] = {}
-    near = vectors[:n] @ vectors[:n].T
-    for i, j in zip(*np.nonzero(np.triu(near, 1) > threshold), strict=True):
-        weights[int(i), int(j)] = float(near[i, j]) / (1 + (j - i) / 10)
+    near = np.triu(vectors[:n] @ vectors[:n].T, 1)
+    apart = np.arange(n)[None] - np.arange(n)[:, None]
+    linked = near > threshold
+    weight = np.where(linked, near / (1 + np.maximum(apart, 0) / 10), 0.0)
     low = [s.lower() for s in sentences]
+    ties: dict[tuple[int, int], float] = {}
     for e, name in enumerate(entities):
-        own = [i for i, s in enumerate(low) if name in s]
-        for k, i in enumerate(own[:-1]):  # neighbours among the sentences of an entity join them all
-            pair = i, own[k + 1]
-            weights[pair] = weights[pair] + 0.2 if pair in weights else entity_weight
-        for i in own:
+        own = np.array([i for i, s in enumerate(low) if name in s], np.int64)
+        every = np.ix_(own, own)  # all pairs; below the diagonal nothing is read
+        weight[every] = np.where(linked[every], weight[every] + 0.2, entity_weight)
+        linked[every] = True
+        for i in own.tolist():
             alike = float(vectors[i] @ vectors[n + e])
             if alike > 0.5:
-                weights[i, n + e] = alike * entity_weight
-    for i in range(n - 1):
-        weights[i, i + 1] = max(weights.get((i, i + 1), 0.0), next_weight)
+                ties[i, n + e] = alike * entity_weight
+    after = np.arange(n - 1)
+    weight[after, after + 1] = np.maximum(np.where(linked[after, after + 1], weight[after, after + 1], 0.0), next_weight)
+    linked[after, after + 1] = True
+    linked, weight = np.triu(linked, 1), np.triu(weight, 1)
+    # neighbours are always linked, so they and the ties give the components
     out = []
-    for g in components(n + len(entities), iter(weights)):
+    for g in components(n + len(entities), iter([*((i, i + 1) for i in range(n - 1)), *ties])):
         if len(g) < least:
             continue
         members = set(g)
-        inner = [w for (a, b), w in weights.items() if a in members and b in members]
+        own = np.array([i for i in g if i < n], np.int64)
+        joined = np.ix_(own, own)
+        inner = [w for (a, b), w in ties.items() if a in members and b in members]
+        edges = len(inner) + int(linked[joined].sum())
         words = " ".join(sentences[i] for i in g if i < n).split()
         if words:
-            mean = sum(inner) / len(inner) if inner else 0.0
+            mean = (sum(inner) + float(weight[joined][linked[joined]].sum())) / edges if edges else 0.0
             body = " ".join(words[:most])
-            extra = {"sentences": str(sum(i < n for i in g)), "mean_weight": f"{mean:.4f}", "density": f"{2 * len(inner) / (len(g) * (len(g) - 1)):.4f}"}
+            extra = {"sentences": str(sum(i < n for i in g)), "mean_weight": f"{mean:.4f}", "density": f"{2 * edges / (len(g) * (len(g) - 1)):.4f}"}
             out.append(Chunk(body, cover=cover_of(body, X.SMART_COVER), confidence=min(mean, 1.0), extra=extra))
     return out
 

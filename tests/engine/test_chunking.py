@@ -82,3 +82,33 @@ def test_stream_equals_table(spark, tmp_path):
     ingest.write_stream(ingest.chunk_stream(ingest.document_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
     key = lambda df: sorted((r.doc_id, r.chunk_ord, r.text) for r in df.collect())
     assert key(spark.read.parquet(f"{tmp_path}/out")) == key(ingest.chunk_stream(docs))
+
+
+def test_sentence_graph_links_all_pairs_of_an_entity():
+    middle = ["Nothing was said about rain in spring.", "Green hills lie far behind our town.", "Many birds sing before dawn breaks."]
+    text = " ".join(f"{a} {b}" for a, b in zip([f"Part {w} pays EUR 500 for {w} things." for w in ("one", "two", "three", "four")], [*middle, "They sleep when night falls."]))
+    sentences = [s + "." for s in text.rstrip(".").split(". ")]
+    low = [s.lower() for s in sentences]
+    found = Counter(m.group(0).lower() for p in D._SENTENCE_ENTITY.values() for m in p.finditer(text))
+    names = sorted(e for e, c in found.items() if c >= 2)
+    assert max(sum(name in s for s in low) for name in names) == 4
+    vectors = D.embed([*sentences, *names])
+    n, edges = len(sentences), {}
+    for i in range(n):
+        for j in range(i + 1, n):
+            alike = float(vectors[i] @ vectors[j])
+            if alike > 0.75:
+                edges[i, j] = alike / (1 + (j - i) / 10)
+            for name in names:
+                if name in low[i] and name in low[j]:
+                    edges[i, j] = edges[i, j] + 0.2 if (i, j) in edges else 1.5
+            if j == i + 1:
+                edges[i, j] = max(edges.get((i, j), 0.0), 0.8)
+        for e, name in enumerate(names):
+            if name in low[i] and (alike := float(vectors[i] @ vectors[n + e])) > 0.5:
+                edges[i, n + e] = alike * 1.5
+    size = len({x for e in edges for x in e})
+    (got,) = D.semantic_graph(text)
+    mean = sum(edges.values()) / len(edges)
+    assert got.extra == {"sentences": "8", "mean_weight": f"{mean:.4f}", "density": f"{2 * len(edges) / (size * (size - 1)):.4f}"}
+    assert abs(got.confidence - min(mean, 1.0)) < 1e-9
