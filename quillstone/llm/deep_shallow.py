@@ -1,7 +1,7 @@
 """Deep-shallow sorting of strings of one length, with the longest common prefix of each neighbour.
 
-Shallow: a multikey quicksort that treats eight bytes as one character and splits all open groups at once, down to
-SHALLOW words. Deep: each group that still agrees there goes through a blind trie (a Patricia trie that compares only
+Shallow: a word-wise lexicographic sort (np.lexsort) that takes eight bytes as one character and splits all open groups
+at once, without pivots, down to SHALLOW words. Deep: each group that still agrees there goes through a blind trie (a Patricia trie that compares only
 branching characters on its way down, and one whole string at the end), which also gives the common prefixes.
 """
 
