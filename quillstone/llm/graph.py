@@ -1,31 +1,104 @@
-"""Connected components of an edge table, by repeated DataFrame joins."""
+"""Connected components of an edge table, by alternating large-star and small-star steps over DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import discard, stored
+from quillstone.llm.common import discard, map_arrow, stored
+
+#: Edges that a task puts together before it passes on a spanning star of each piece.
+BATCH = 200_000
+
+
+def _stars(batch_rows: int):
+    """Edges as (larger, least node of the piece): of each run of batch_rows edges only a spanning forest of stars is left."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            edges = [(x, find(x)) for x in parent]
+            edges = [e for e in edges if e[0] != e[1]]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], kind) for k in (0, 1)], ["a", "b"])
+
+        held, kind = 0, None
+        for batch in batches:
+            kind = batch.schema.field("a").type
+            for start in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(start, batch_rows)
+                for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+                    parent.setdefault(x, x)
+                    parent.setdefault(y, y)
+                    x, y = find(x), find(y)
+                    if x < y:
+                        parent[y] = x
+                    elif y < x:
+                        parent[x] = y
+                held += part.num_rows
+                if held >= batch_rows:
+                    yield flush(kind)
+                    held = 0
+        if parent:
+            yield flush(kind)
+
+    return task
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def rounds_of_stars(edges: DataFrame, batch_rows: int = BATCH) -> tuple[DataFrame, int]:
+    """Edges (a, b), a != b, as stars (node, least node of its component), and how many rounds that took.
+
+    A round ties each node's larger neighbours to the least of its neighbourhood, then its smaller ones and itself. Both
+    keep the components, edges never grow in number, and paths and hubs shorten by a factor: rounds follow the logarithm
+    of the number of nodes. It ends when a round changes nothing.
+    """
+    kind = dict(edges.dtypes)["a"]
+    pieces = lambda e: map_arrow(e, _stars(batch_rows), f"a {kind}, b {kind}").distinct()
+    now, rounds = stored(pieces(edges), "cc-edges"), 0
+    before = _state(now)
+    while before[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(least, F.col("a") == F.col("u")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = stored(pieces(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))), "cc-edges")
+        discard(now)
+        now, rounds, after = new, rounds + 1, _state(new)
+        if after == before:
+            break
+        before = after
+    return now, rounds
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node it reaches.
 
-    Each round takes the least root among neighbours, then jumps to the root's own root, and ends when nothing changes.
-    Rounds are written to the shared folder. Null ends are ignored, self-loops and repeated edges do no harm, an empty
-    table gives no rows. A hub's edges are summed before they are shuffled; its join is split by adaptive execution.
+    Rounds are written to the shared folder and the one before is removed. Null ends are ignored, self-loops and repeated
+    edges do no harm, an empty table gives no rows. Tasks pass on spanning stars of what they read, so a hub or a large
+    group is a few edges a task; what is left of a hub's join is split by adaptive execution.
     """
     clean = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
-    both = stored(clean.unionByName(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc-labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        seen = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        up = labels.select(F.col("node").alias("p"), F.col("root").alias("q"))
-        new = stored(seen.join(up, seen["root"] == up["p"], "left").select("node", "old", F.least("root", F.coalesce("q", "root")).alias("root")), "cc-labels")
-        done = new.where(F.col("root") < F.col("old")).limit(1).count() == 0
-        discard(labels)
-        labels = new.select("node", "root")
-        if done:
-            discard(both)
-            return labels
+    stars, _ = rounds_of_stars(clean.where(F.col("a") != F.col("b")))
+    loops = clean.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"), F.col("a").alias("root"))
+    own = stars.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    named = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(own).unionByName(loops)
+    labels = stored(named.groupBy("node").agg(F.min("root").alias("root")), "cc-labels")
+    discard(stars)
+    return labels
