@@ -54,6 +54,41 @@ def test_equals_brute_force(spark, size, num, den, task):
     assert got == brute(rows, size, num, den)
 
 
+@pytest.mark.parametrize(("size", "num", "den"), [(3, 9, 10), (5, 8, 10)])
+def test_large_groups_in_blocks(spark, size, num, den):
+    """Near copies of one text, a chain that drifts away from it, and texts that share half with it, in families far beyond a task."""
+    rng = random.Random(size)
+    base = ["w%d" % rng.randrange(5000) for _ in range(120)]
+    rows = []
+    for i in range(160):
+        w = base[:]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = "x%d" % rng.randrange(900)
+        rows.append((3 * i, " ".join(w)))
+    drift = base[:]
+    for i in range(40):
+        drift[(5 * i) % 120] = "y%d" % i
+        rows.append((3 * i + 1, " ".join(drift)))
+    for i in range(60):
+        rows.append((3 * i + 2, " ".join(base[: rng.randint(90, 112)] + ["z%d" % rng.randrange(9000) for _ in range(rng.randint(0, 16))])))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_join.join(docs, size, num, den, 1500).collect()), key=str)
+    assert got == brute(rows, size, num, den)
+
+
+def test_asked_prefix_lengths_follow_cost():
+    bound = jaccard_join.Bound(8, 10)
+    places = np.arange(60)
+    rare_first = np.array([2] * 21 + [500] * 39)
+    rare_last = np.array([500] * 25 + [2] * 35)
+    short, kept = jaccard_join.asked(200, places, rare_first, bound)
+    assert len(kept) == int(bound.prefix(200, short)) - short + 1
+    long, _ = jaccard_join.asked(200, places, rare_last, bound)
+    assert short < long
+    assert jaccard_join.asked(200, places[:0], rare_first[:0], bound) is None
+
+
 def test_spanning_links_on_many_candidates():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
