@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import discard, map_arrow, stored
 
 #: Edges that a task puts together before it passes on a spanning star of each piece.
-BATCH = 200_000
+BATCH = 400_000
 
 
 def _stars(batch_rows: int):
@@ -66,13 +66,17 @@ def rounds_of_stars(edges: DataFrame, batch_rows: int = BATCH) -> tuple[DataFram
 
     A round ties each node's larger neighbours to the least of its neighbourhood, then its smaller ones and itself. Both
     keep the components, edges never grow in number, and paths and hubs shorten by a factor: rounds follow the logarithm
-    of the number of nodes. It ends when a round changes nothing.
+    of the number of nodes. It ends when a round changes nothing, or with the one task that all edges left fit into.
     """
     kind = dict(edges.dtypes)["a"]
     pieces = lambda e: map_arrow(e, _stars(batch_rows), f"a {kind}, b {kind}").distinct()
     now, rounds = stored(pieces(edges), "cc-edges"), 0
     before = _state(now)
     while before[0]:
+        if before[0] <= batch_rows:
+            last = stored(map_arrow(now.coalesce(1), _stars(batch_rows), f"a {kind}, b {kind}"), "cc-edges")
+            discard(now)
+            return last, rounds + 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
