@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding as a monoid: halves are encoded and joined at their boundary.
 
-A piece (one match of the pattern) is cut in halves down to short leaves; leaves are encoded by merging the pair of
-lowest rank. Two encodings are joined by encoding again a window of tokens around their boundary. A sequence of tokens
-is the encoding of its bytes if and only if every adjacent pair is the encoding of its own bytes, so as soon as the
-window's first and last tokens come out as they were, the pairs across its ends are pairs that already stood in a valid
-encoding, and nothing outside can change. Until then the window doubles. Decoding concatenates bytes up the same tree.
-
-Memory: texts are cut into matches lazily and hashed in runs of RUN tokens; known pieces are kept in two tables of at
-most KNOWN entries, the older of which is dropped when the younger is full. Ranks are read once by each Python worker from the file given.
-
-Defined cases: a null text counts as empty (no tokens, hash of nothing); special tokens are ordinary text.
+A piece (one match of the pattern) is cut in halves down to single bytes. Two encodings are joined by encoding again a
+window of tokens around their boundary. A sequence of tokens is the encoding of its bytes if and only if every adjacent
+pair is the encoding of its own bytes, so as soon as the window's first and last tokens come out as they were, the pairs
+across its ends are pairs that already stood in a valid encoding, and nothing outside can change. Until then the window
+doubles. Pieces do not act on each other: above them the same tree concatenates. Decoding concatenates bytes up a tree.
+
+Memory: texts are cut into matches lazily and hashed in runs of RUN tokens; known pieces and windows are kept in two
+tables each of at most KNOWN entries, the older of which is dropped when the younger is full. Ranks are read once by
+each Python worker from the file given.
+
+Defined cases: a null text counts as empty (no tokens, hash of nothing); special tokens are ordinary text; repeated rows
+are coded each; an empty table gives none; null ids decode to null. An input column with the name of a new one, in any
+case, is replaced.
 """
 
 from __future__ import annotations
@@ -18,15 +21,17 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillstone.llm.common import map_arrow, slices, table
 
-LEAF = 48
+#: Windows beyond so many bytes are merged with a heap.
+LONG = 192
 RUN = 65_536
 KNOWN = 200_000
 
@@ -43,13 +48,15 @@ class Encoder:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = _Known(self)
+        self.known: dict[str, tuple[int, ...]] = _Kept(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+        self.windows: dict[tuple[int, ...], tuple[int, ...]] = _Kept(lambda ids: tuple(self.merge(up(list(map(self.bytes_of.__getitem__, ids))))))
+        self.joins = 0  # of two parts that both have tokens
 
-    # ---- leaves
+    # ---- windows
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE: merge the leftmost adjacent pair of lowest rank until none is left."""
-        if len(data) > 4 * LEAF:
+        if len(data) > LONG:
             return self._merge_long(data)
         rank, none = self.ranks.get, len(self.ranks) + 1
         cuts = list(range(len(data) + 1))  # bounds of the parts
@@ -89,27 +96,26 @@ class Encoder:
 
     # ---- the monoid
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left + right
+        self.joins += 1
         width = 1
         while True:
             a, b = left[-width:], right[:width]
-            window = self.merge(self.decode(a + b))
+            window = self.windows[a + b]
             if (len(a) == len(left) or window[0] == a[0]) and (len(b) == len(right) or window[-1] == b[-1]):
                 return left[: len(left) - len(a)] + window + right[len(b) :]
             width *= 2
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        """One match of the pattern, by tree reduction."""
+    def encode_piece(self, data: bytes) -> tuple[int, ...]:
+        """One match of the pattern, by tree reduction; a match that is a token is that token."""
         whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        return self._tree(data)
+        return (whole,) if whole is not None else self._tree(data)
 
-    def _tree(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merge(data)
+    def _tree(self, data: bytes) -> tuple[int, ...]:
+        if len(data) < 2:
+            return tuple(self.ranks[data[i : i + 1]] for i in range(len(data)))
         half = len(data) // 2
         return self.join(self._tree(data[:half]), self._tree(data[half:]))
 
@@ -119,37 +125,44 @@ class Encoder:
         """The ids of a whole text, in lists of bounded length (a single long piece may exceed it)."""
         known, pattern = self.known, self.pattern
         if len(text) <= RUN:
-            yield list(chain.from_iterable(map(known.__getitem__, pattern.findall(text))))
+            yield up(list(map(known.__getitem__, pattern.findall(text))), ())
             return
         pieces = (m.group() for m in pattern.finditer(text))
         while some := list(islice(pieces, RUN)):
-            yield list(chain.from_iterable(map(known.__getitem__, some)))
+            yield up(list(map(known.__getitem__, some)), ())
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.runs(text or "")))
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        """Concatenation up the tree; join of bytes is that reduction in one call."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return up(list(map(self.bytes_of.__getitem__, ids)))
+
 
+def up(parts: list, none=b""):
+    """Neighbours concatenated level by level to the root of their tree; none for no parts."""
+    while len(parts) > 1:
+        odd = parts[-1:] if len(parts) % 2 else []
+        parts = list(map(add, parts[::2], parts[1::2])) + odd
+    return parts[0] if parts else none
 
-class _Known(dict):
-    """Encoded pieces, in two generations: when the young one is full it becomes the old one, so pieces in use stay."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-        self.old: dict[str, tuple[int, ...]] = {}
+class _Kept(dict):
+    """Results by key, in two generations: when the young one is full it becomes the old one, so keys in use stay."""
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = tuple(self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= 64:
+    def __init__(self, of: Callable):
+        self.of = of
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.of(key)
+        if len(key) <= 64:
             if len(self) >= KNOWN:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = found
+        return found
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -162,37 +175,41 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
+def _others(df: DataFrame, *new: str) -> tuple[list[str], str]:
+    """Columns that stay beside new ones, and their part of a schema."""
+    kept = [f for f in df.schema if f.name.lower() not in {n.lower() for n in new}]
+    return [f.name for f in kept], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+
+
 def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of token ids (array<int>); other columns pass through."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids}` array<int>"
+    names, others = _others(docs, ids)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for batch in slices(batches, text, 4 << 20):
             lists = pa.array([coder.encode(t.as_py()) for t in batch.column(text)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, ids])
 
-    return map_arrow(docs, task, schema)
+    return map_arrow(docs, task, f"{others}`{ids}` array<int>")
 
 
 def decode_column(coded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """coded with a column of the bytes that its token ids stand for; null ids give null."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema) + f", `{out}` binary"
+    names, others = _others(coded, out)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for batch in batches:
             data = pa.array([None if x is None else coder.decode(x) for x in batch.column(ids).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), data], [*names, out])
 
-    return map_arrow(coded, task, schema)
+    return map_arrow(coded, task, f"{others}`{out}` binary")
 
 
 def encode_and_check(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs without its text, with ids (array<int>) and decoded_sha256, the hash of the bytes that the ids decode to. One worker does both, so one vocabulary is held for each task."""
-    kept = [f for f in docs.schema if f.name != text]
-    names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "decoded_sha256 string"])
+    names, others = _others(docs, text, "ids", "decoded_sha256")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
@@ -208,7 +225,7 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, text: str = "text
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, pa.array(hashes, pa.string())], [*names, "ids", "decoded_sha256"])
 
-    return map_arrow(docs, task, schema)
+    return map_arrow(docs, task, f"{others}ids array<int>, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -36,6 +36,22 @@ def test_tree_reduction_equals_the_library(coder, library):
         assert coder.decode(ids) == text.encode()
 
 
+def test_ids_come_from_joins_in_the_tree(library):
+    own = byte_bpe.Encoder(byte_bpe.read_ranks(PATH), PATTERN)
+    text = "An unremarkable paragraph about quillwork, stonemasonry and gooseberries."
+    assert own.encode(text) == library.encode_ordinary(text)
+    pieces = [p for p in own.pattern.findall(text) if p.encode() not in own.ranks]
+    assert own.joins == sum(len(p.encode()) - 1 for p in pieces) > 20
+    for p in own.pattern.findall(text):  # the tree alone gives the same as a look-up of the whole piece
+        assert own._tree(p.encode()) == tuple(library.encode_ordinary(p))
+
+
+def test_concatenation_up_a_tree():
+    for n in range(20):
+        assert byte_bpe.up([bytes([k]) for k in range(n)]) == bytes(range(n))
+        assert byte_bpe.up([(k,) for k in range(n)], ()) == tuple(range(n))
+
+
 def test_every_token_encodes_as_itself(coder):
     assert all(coder.merge(token) == [rank] for token, rank in coder.ranks.items())
 
@@ -65,3 +81,14 @@ def test_columns_round_trip_and_empty(spark):
     back = byte_bpe.decode_column(byte_bpe.encode_column(docs, PATH, PATTERN), PATH, PATTERN)
     assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {1: b"Eins zwei", 2: b""}
     assert byte_bpe.round_trip(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_columns_with_the_new_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "Eins zwei", "old", 4, b"x")], "doc_id long, text string, IDS string, decoded_sha256 int, decoded binary")
+    coded = byte_bpe.encode_column(docs, PATH, PATTERN)
+    assert coded.columns == ["doc_id", "text", "decoded_sha256", "decoded", "ids"]
+    back = byte_bpe.decode_column(coded, PATH, PATTERN)
+    assert back.columns == ["doc_id", "text", "decoded_sha256", "ids", "decoded"] and bytes(back.first().decoded) == b"Eins zwei"
+    checked = byte_bpe.encode_and_check(docs, PATH, PATTERN)
+    assert checked.columns == ["doc_id", "decoded", "ids", "decoded_sha256"]
+    assert checked.first().decoded_sha256 == hashlib.sha256(b"Eins zwei").hexdigest()
