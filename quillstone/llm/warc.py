@@ -6,7 +6,11 @@ index maps each record to its bundle, frame and offset inside the frame. Of reco
 LEAST bytes the one with the smallest page_id is a response and the others are revisits that refer to it.
 
 Bundles go to the cluster's shared folder under names of their own for each attempt; the index, written by Spark, names
-only those of attempts that ended well, so a lost executor leaves at most files that nothing reads.
+only those of attempts that ended well, so a lost executor leaves at most files that nothing reads. Folders are opened
+by pyarrow; the schemes that only Hadoop knows by another name are translated (s3a, s3n: s3).
+
+A revisit carries no payload. What is said of it when it is read comes from the response that it refers to, whose payload
+was hashed; a revisit without such a response is an error.
 
 Defined cases: a null html is an empty payload; a null page_id is written as `null` and comes after all others; a null
 url leaves out the target line; rows that repeat the smallest page_id with its payload are all responses; payloads under
@@ -35,10 +39,15 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
 
 
+#: Hadoop's names of object stores, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    if urlsplit(path).scheme in ("", "file"):
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
         return fs.LocalFileSystem(), urlsplit(path).path
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def planned(pages: DataFrame) -> DataFrame:
@@ -47,7 +56,9 @@ def planned(pages: DataFrame) -> DataFrame:
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     keys = named.where(F.col("bytes") >= LEAST).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
     later = F.col("first").isNotNull() & (F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)))
-    joined = named.join(keys, F.col("digest") == F.col("d"), "left")
+    # small payloads refer to nothing: a key of their own deals them out, however many are equal
+    key = F.when(F.col("bytes") >= LEAST, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = named.withColumn("key", key).join(keys, F.col("key") == F.col("d"), "left")
     return joined.select("page_id", "url", "html", "digest", F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("first")).alias("refers_to"))
 
 
@@ -195,8 +206,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
-    """Every record of the index's bundles, frame by frame; response payloads are checked against their digests."""
+def records(index: DataFrame, folder: str) -> DataFrame:
+    """Every record of the index's bundles as it stands there, frame by frame; response payloads are checked against their digests."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,22 +225,51 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     return map_arrow(names.repartition(max(1, names.count()), "bundle"), task, _READ)
 
 
-def lookup(wanted: DataFrame, folder: str) -> DataFrame:
-    """page_id and payload (null for a revisit) of the index rows wanted: only their frames are read."""
+def read(index: DataFrame, folder: str) -> DataFrame:
+    """Every record with the size and digest of its full payload: a revisit's are those found for the response it refers to."""
+    found = stored(records(index, folder), "warc-records")
+    responses = found.where(F.col("record_type") == "response")
+    whole = responses.select(F.col("page_id").alias("of"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
+    revisits = found.where(F.col("record_type") == "revisit").join(whole, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("n")), "left")
+    broken = F.raise_error(F.concat(F.lit("no response of this payload for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    checked = lambda c, e: F.when(F.col("of").isNotNull(), F.col(c)).otherwise(broken.cast(e))
+    return responses.unionByName(revisits.select("page_id", checked("n", "long").alias("payload_bytes"), checked("d", "string").alias("payload_digest"), "record_type", "refers_to"))
+
+
+def _fetch(wanted: DataFrame, folder: str) -> DataFrame:
+    """page_id, payload, digest and refers_to of the index rows wanted: only their frames are read, one after another."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reader, held, data = None, None, None, b""
         for batch in batches:
-            last, reader, held, data = None, None, None, b""
             for name, k, offset in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset")), strict=True):
                 if name != last:
+                    if reader:
+                        reader.close()
                     last, reader, held = name, BundleReader(f"{folder}/{name}"), None
                 if k != held:
                     held, data = k, reader.frame(k)
                 fields, payload, _ = parse(data, offset)
-                kind = fields["WARC-Type"]
-                yield pa.RecordBatch.from_arrays([pa.array([_id(fields["WARC-Record-ID"])], pa.int64()), pa.array([payload if kind == "response" else None], pa.binary())], ["page_id", "payload"])
-
-    return map_arrow(wanted.sortWithinPartitions("bundle", "frame", "offset"), task, "page_id long, payload binary")
+                page_id, _, digest, kind, refers_to = _row(fields, payload)
+                yield pa.RecordBatch.from_arrays([pa.array([page_id], pa.int64()), pa.array([payload if kind == "response" else None], pa.binary()), pa.array([digest]), pa.array([refers_to], pa.int64())], ["page_id", "payload", "digest", "refers_to"])
+        if reader:
+            reader.close()
+
+    placed = wanted.select("bundle", "frame", "offset").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return map_arrow(placed, task, "page_id long, payload binary, digest string, refers_to long")
+
+
+def lookup(wanted: DataFrame, folder: str, index: DataFrame | None = None) -> DataFrame:
+    """page_id and payload of the index rows wanted. Given the whole index, a revisit's payload is that of the response it refers to; without it, null."""
+    found = _fetch(wanted, folder)
+    if index is None:
+        return found.select("page_id", "payload")
+    found = stored(found, "warc-found")
+    named = found.where(F.col("refers_to").isNotNull()).select(F.col("refers_to").alias("of")).distinct()
+    referred = index.join(named, F.col("page_id") == F.col("of"), "left_semi")
+    whole = _fetch(referred, folder).where(F.col("payload").isNotNull()).select(F.col("page_id").alias("of"), F.col("digest").alias("d"), F.col("payload").alias("p")).dropDuplicates(["of", "d"])
+    out = found.join(whole, (F.col("refers_to") == F.col("of")) & (F.col("digest") == F.col("d")), "left")
+    return out.select("page_id", F.coalesce("payload", "p").alias("payload"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
