@@ -7,8 +7,10 @@ first level that it fails tells whether it is listed: exact for every key of the
 rate |L| / (sqrt(2) |U|) and the others one half, so false positives stay near |L| / sqrt(2) however large the corpus is.
 One cascade tells listed keys from all others, a second one blocking rules from allowing ones.
 
-Bounds: lists of up to MOST_RULES rules are taken (checked), and the false positives, whose count is checked too, are
-collected; what is broadcast are the bit maps, about 1.44 log2(1 / rate) bits for each rule.
+Bounds: what is broadcast are the bit maps of at most PART rules, about 1.44 log2(1 / rate) bits for each. A longer list
+is cut into parts by hash, one pass over the urls for each, and a url keeps the longest rule found so far. Keys that pass
+a first level are gathered without their urls and lose the listed ones by an anti-join; if more false positives are left
+than PASSING for each rule (chance, or hosts that are counted badly), the level is made anew with a lower rate.
 
 Defined cases: a null url, or one without ://, has an empty host and path and fits no rule; repeated rows are judged
 alike; an empty list or table works; of rules that fit, the longest (host and path together, then host) wins; of
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow, table
+from quillstone.llm.common import map_arrow, stored, table
 from quillstone.llm.hashing import mix
 
-MOST_RULES = 5_000_000
+#: Rules of one pass, and false positives of a first level for each of them (and a few) that the driver takes.
+PART = 2_000_000
+PASSING = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The production rules, as (host, path, verdict).
@@ -120,56 +124,76 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, int]
     return sorted(found, key=lambda c: (-len(c[0]), -c[1]))
 
 
-def _false_positives(first: Bloom, listed: set[bytes], lengths: list[int]):
+def _passing(first: Bloom, lengths: list[int]):
+    """Digests of the keys of urls that pass a first level."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = {k for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True) for k, _ in candidates(h, p, lengths)}
-            digests = list({digest(k) for k in keys})
+            digests = [digest(k) for k in keys]
             hit = np.flatnonzero(first.passes(salted(as_array(digests), 0))) if digests else []
-            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in hit if digests[i] not in listed], pa.binary())], ["digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in hit], pa.binary())], ["digest"])
 
     return task
 
 
+def _cascade(parts: DataFrame, keys: list[bytes], lengths: list[int], universe: int) -> Cascade:
+    """The cascade of the listed keys over all keys of the urls in parts."""
+    listed = as_array(keys)
+    known = parts.sparkSession.createDataFrame(pa.table({"digest": pa.array(keys, pa.binary())}))
+    most = PASSING * len(keys) + 10_000
+    while True:
+        first = Cascade.first_level(listed, universe)
+        wrong = map_arrow(parts.select("host", "path"), _passing(first, lengths), "digest binary").distinct().join(known, "digest", "left_anti")
+        found = [bytes(r[0]) for r in wrong.limit(most + 1).collect()]
+        if len(found) <= most:
+            return Cascade(first).complete(listed, as_array(found))
+        universe = 16 * max(universe, len(keys))
+
+
 def _decide(listed: Cascade, blocking: Cascade, lengths: list[int]):
+    """The longest rule that fits a url, of these and the one that it has already."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             own = [candidates(h, p, lengths) for h, p in zip(hosts, paths, strict=True)]
             digests = as_array([digest(k) for c in own for k, _ in c])
             inside, blocks = listed.contains(digests), blocking.contains(digests)
-            rules, verdicts, at = [], [], 0
-            for c in own:
-                first = next((i for i in range(len(c)) if inside[at + i]), None)
-                rules.append(None if first is None else c[first][0])
-                verdicts.append("block" if first is not None and blocks[at + first] else "allow")
+            rules, hosts_, verdicts, at = [], [], [], 0
+            for c, *before in zip(own, *(batch.column(n).to_pylist() for n in ("rule", "rule_host", "verdict")), strict=True):
+                i = next((i for i in range(len(c)) if inside[at + i]), None)
+                if i is not None and (before[0] is None or (len(c[i][0]), c[i][1]) > (len(before[0]), before[1])):
+                    before = [*c[i], "block" if blocks[at + i] else "allow"]
+                for x, to in zip(before, (rules, hosts_, verdicts), strict=True):
+                    to.append(x)
                 at += len(c)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            new = pa.array(rules, pa.string()), pa.array(hosts_, pa.int32()), pa.array(verdicts, pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("page_id", "host", "path")), *new], ["page_id", "host", "path", "rule", "rule_host", "verdict"])
 
     return task
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | tuple) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | tuple, part: int = PART) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url). A url that no rule fits is not listed: allowed."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; bit maps are broadcast for up to {MOST_RULES}")
     block = {h + p for h, p, v in rules if v == "block"}
-    allow = {h + p for h, p, _ in rules} - block
+    keys = sorted(block | {h + p for h, p, _ in rules})
     lengths = sorted({len(p) for _, p, _ in rules})
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     universe = parts.agg(F.sum(F.size(F.split("host", r"\.")) * len(lengths))).first()[0] or 0
-    keys = [digest(k) for k in sorted(block | allow)]
-    first = Cascade.first_level(as_array(keys), universe)
-    wrong = map_arrow(parts.select("host", "path"), _false_positives(first, set(keys), lengths), "digest binary").distinct()
-    most = 4 * len(keys) + 10_000
-    found = [bytes(r[0]) for r in wrong.limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError("more false positives than a filter of this rate gives")
-    listed = Cascade(first).complete(as_array(keys), as_array(found))
-    b, a = as_array([digest(k) for k in sorted(block)]), as_array([digest(k) for k in sorted(allow)])
-    start = Cascade.first_level(b, len(a))
-    blocking = Cascade(start).complete(b, a[start.passes(salted(a, 0))] if len(a) else a)
-    return map_arrow(parts, _decide(listed, blocking, lengths), "page_id long, host string, path string, rule string, verdict string")
+    judged = parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("int").alias("rule_host"), F.lit(None).cast("string").alias("verdict"))
+    passes = max(1, -(-len(keys) // part))
+    for k in range(passes):
+        own = [(key, digest(key)) for key in keys]
+        own = [(key, d) for key, d in own if int.from_bytes(d[:8], "little") % passes == k]
+        listed = _cascade(parts, [d for _, d in own], lengths, universe)
+        b, a = (as_array([d for key, d in own if (key in block) == side]) for side in (True, False))
+        start = Cascade.first_level(b, len(a))
+        blocking = Cascade(start).complete(b, a[start.passes(salted(a, 0))] if len(a) else a)
+        judged = map_arrow(judged, _decide(listed, blocking, lengths), "page_id long, host string, path string, rule string, rule_host int, verdict string")
+        if k + 1 < passes:
+            judged = stored(judged, "url-judged")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,21 @@ def test_equals_brute_force(spark):
         for r in got:
             assert (r.host, r.path, r.rule, r.verdict) == brute(urls[9] if r.page_id is None else urls[r.page_id], rules)
     assert u.judge(pages.limit(0), u.RULES).count() == 0
+    many = u.RULES + tuple((f"h{i}.org", f"/{i}", "block") for i in range(40)) + (("com", "", "block"), ("h3.org", "/3/4", "allow"))
+    more = spark.createDataFrame([(i, f"http://x.h{i}.org/{i}/4?") for i in range(60)] + [(100 + i, x) for i, x in enumerate(urls)], "page_id long, url string")
+    for r, (_, url) in zip(sorted(u.judge(more, many, part=7).collect()), sorted(more.collect()), strict=True):
+        assert (r.host, r.path, r.rule, r.verdict) == brute(url, many)
+
+
+def test_a_first_level_with_too_many_false_positives_is_made_anew(spark, monkeypatch):
+    monkeypatch.setattr(u, "PASSING", -3_333)
+    rules = tuple((f"h{i}.org", "/", "block") for i in range(3))
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/") for i in range(2_000)], "page_id long, url string")
+    made = []
+    first_level = u.Cascade.first_level
+    monkeypatch.setattr(u.Cascade, "first_level", staticmethod(lambda listed, n: made.append(n) or first_level(listed, 1 if len(made) == 1 else n)))
+    got = u.judge(pages, rules).collect()
+    assert sorted(r.page_id for r in got if r.verdict == "block") == [0, 1, 2] and len(made) > 2 and made[1] > made[0]
 
 
 def test_cascade_is_exact_over_its_universe():
