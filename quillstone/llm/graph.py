@@ -4,55 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import discard, map_arrow, stored
 
 #: Edges that a task puts together before it passes on a spanning star of each piece.
-BATCH = 400_000
+BATCH = 300_000
+
+
+def _forest(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    """Each node of edges that is not the least of its piece, with the one that is."""
+    coded = pa.concat_arrays([a, b]).dictionary_encode()
+    values = coded.dictionary
+    order = pc.sort_indices(values).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = rank[coded.indices.to_numpy()]
+    parent = list(range(len(order)))
+    for x, y in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x < y:
+            parent[y] = x
+        elif y < x:
+            parent[x] = y
+    for x in range(len(parent)):  # parents come first
+        parent[x] = parent[parent[x]]
+    least = np.array(parent, np.int64)
+    some = np.flatnonzero(least != np.arange(len(least)))
+    return pa.RecordBatch.from_arrays([values.take(pa.array(order[some])), values.take(pa.array(order[least[some]]))], ["a", "b"])
 
 
 def _stars(batch_rows: int):
     """Edges as (larger, least node of the piece): of each run of batch_rows edges only a spanning forest of stars is left."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
-
-        def find(x):
-            top = x
-            while parent[top] != top:
-                top = parent[top]
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
-
-        def flush(kind: pa.DataType) -> pa.RecordBatch:
-            edges = [(x, find(x)) for x in parent]
-            edges = [e for e in edges if e[0] != e[1]]
-            parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], kind) for k in (0, 1)], ["a", "b"])
-
-        held, kind = 0, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            kind = batch.schema.field("a").type
             for start in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(start, batch_rows)
-                for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
-                    parent.setdefault(x, x)
-                    parent.setdefault(y, y)
-                    x, y = find(x), find(y)
-                    if x < y:
-                        parent[y] = x
-                    elif y < x:
-                        parent[x] = y
-                held += part.num_rows
-                if held >= batch_rows:
-                    yield flush(kind)
-                    held = 0
-        if parent:
-            yield flush(kind)
+                held.append(batch.slice(start, batch_rows))
+                size += held[-1].num_rows
+                if size >= batch_rows:
+                    yield _forest(*(pa.concat_arrays([x.column(c) for x in held]) for c in ("a", "b")))
+                    held, size = [], 0
+        if held:
+            yield _forest(*(pa.concat_arrays([x.column(c) for x in held]) for c in ("a", "b")))
 
     return task
 
