@@ -1,8 +1,9 @@
 """Deep-shallow sorting of strings of one length, with the longest common prefix of each neighbour.
 
-Shallow: a word-wise lexicographic sort (np.lexsort) that takes eight bytes as one character and splits all open groups
-at once, without pivots, down to SHALLOW words. Deep: each group that still agrees there goes through a blind trie (a Patricia trie that compares only
-branching characters on its way down, and one whole string at the end), which also gives the common prefixes.
+Shallow: multikey quicksort that takes eight bytes as one character. All open groups are parted at once, each around the
+median of three of its own characters at its own depth: less, equal, greater; only the equal part goes one character
+deeper. Deep: each group that still agrees after SHALLOW characters goes through a blind trie (a Patricia trie that
+compares only branching characters on its way down, and one whole string at the end).
 """
 
 from __future__ import annotations
@@ -83,44 +84,55 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def sort(strings: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of a byte matrix, and for each place the common prefix with the row before (0 at the first)."""
     n, length = strings.shape
-    order, lcp = np.arange(n), np.zeros(n, np.int64)
+    order = np.arange(n)
     if n < 2:
-        return order, lcp
+        return order, np.zeros(n, np.int64)
     words = _words(strings)
-    group = np.zeros(n, np.int64)  # by place: the first place of its group
-    open_ = np.arange(n)  # places in groups that still have to be split
-    depth = 0
-    while len(open_) and depth < min(shallow, words.shape[1]):
-        key = words[order[open_], depth]
-        by = np.lexsort((key, group[open_]))
-        order[open_], key = order[open_][by], key[by]
-        same_group = group[open_][1:] == group[open_][:-1]
-        new = np.flatnonzero(same_group & (key[1:] != key[:-1])) + 1
-        lcp[open_[new]] = depth * WORD + _differ(key[new], key[new - 1])
-        starts = np.ones(len(open_), bool)
-        starts[1:] = ~same_group
-        starts[new] = True
-        group[open_] = np.maximum.accumulate(np.where(starts, open_, 0))
-        bounds = np.flatnonzero(starts)
-        sizes = np.diff(np.append(bounds, len(open_)))
-        open_ = open_[np.repeat(sizes > 1, sizes)]
-        depth += 1
-    if len(open_):
-        bounds = np.flatnonzero(np.append(True, group[open_][1:] != group[open_][:-1]))
-        for first, size in zip(open_[bounds].tolist(), np.diff(np.append(bounds, len(open_))).tolist(), strict=True):
-            members = order[first : first + size]
-            rows = strings[members].tobytes()
-            by: dict[bytes, list[int]] = {}
-            for k in range(size):
-                by.setdefault(rows[k * length : (k + 1) * length], []).append(k)
+    for first, size in _multikey_quicksort(words, order, min(shallow, words.shape[1])):
+        members = order[first : first + size]
+        rows = strings[members].tobytes()
+        by: dict[bytes, list[int]] = {}
+        for k in range(size):
+            by.setdefault(rows[k * length : (k + 1) * length], []).append(k)
+        if len(by) > 1:
             trie = BlindTrie(length)
             for s in by:
                 trie.insert(s)
-            placed, shared = [], []
-            for s, common in trie.ordered():
-                same = by[s]
-                placed += same
-                shared += [common] + [length] * (len(same) - 1)
-            shared[0] = int(lcp[first])
-            order[first : first + size], lcp[first : first + size] = members[placed], shared
-    return order, lcp
+            order[first : first + size] = members[[k for s, _ in trie.ordered() for k in by[s]]]
+    return order, _common(words[order], length)
+
+
+def _multikey_quicksort(words: np.ndarray, order: np.ndarray, depths: int) -> list[tuple[int, int]]:
+    """Sort order in place by the first words; (first place, size) of the groups that agree in all of them."""
+    deep: list[tuple[int, int]] = []
+    start, size, depth = np.zeros(1, np.int64), np.array([len(order)]), np.zeros(1, np.int64)
+    while len(start):
+        group = np.arange(len(start))
+        offset = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) + np.repeat(start - offset, size)
+        of = np.repeat(group, size)
+        key = words[order[place], depth[of]]
+        a, b, c = key[offset], key[offset + size // 2], key[offset + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[of]
+        part = 3 * of + (key >= pivot) + (key > pivot)
+        order[place] = order[place][np.argsort(part, kind="stable")]
+        sizes = np.bincount(part, minlength=3 * len(start))
+        start = np.cumsum(sizes) - sizes + np.repeat(start - offset, 3)
+        depth = np.repeat(depth, 3)
+        depth[1::3] += 1
+        size = sizes
+        ended = (depth == depths) & (size > 1)
+        deep += zip(start[ended].tolist(), size[ended].tolist(), strict=True)
+        open_ = (size > 1) & ~ended
+        start, size, depth = start[open_], size[open_], depth[open_]
+    return deep
+
+
+def _common(words: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix of each row with the one before, in bytes."""
+    out = np.zeros(len(words), np.int64)
+    differs = words[1:] != words[:-1]
+    first = differs.argmax(axis=1)
+    rows = np.arange(len(first))
+    out[1:] = np.where(differs[rows, first], first * WORD + _differ(words[1:][rows, first], words[:-1][rows, first]), length)
+    return out

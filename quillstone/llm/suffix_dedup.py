@@ -4,13 +4,17 @@ Every byte covered by a string of LENGTH bytes that also starts earlier in the c
 document further left) is removed; matches never cross documents and are judged on the input.
 
 1. Each window of LENGTH bytes picks an anchor: the leftmost of its GRAM-byte grams whose hash is least. Equal windows
-   pick it at the same offset, so windows are compared anchor by anchor; the windows of one anchor form a context.
-2. Anchors meet by gram hash. Contexts that are the same (128 bits of independent hashes) collapse to the earliest;
-   the others are repeats from end to end. Grams with one context left need no more work.
-3. The contexts left are sorted twice by deep-shallow sorting: the suffixes that start at the anchors, and the reversed
-   strings that end before them. A window at offset o before its anchor equals another if the two agree in o bytes on
-   the left and LENGTH - o on the right; both are runs of the sorted orders by their common prefixes.
-4. Spans go back to their documents, which meet them by a hash of (doc_id, text hash).
+   pick it at the same offset, so windows are compared anchor by anchor; the windows of one anchor form a context. Hashes
+   only say which contexts can meet, bytes decide.
+2. Anchors meet by gram. Those whose gram stands more than once go back to their documents; within a flush of a task they
+   do so at once, and one entry meets those of other tasks.
+3. Contexts are sorted twice by deep-shallow sorting: the suffixes that start at the anchors, and the reversed strings that
+   end before them. A window at offset o before its anchor equals another if the two agree in o bytes on the left and
+   LENGTH - o on the right; both are runs of the sorted orders by their common prefixes. This is done first in the
+   documents' own bucket, which leaves one context of many equal ones, then among those left in all buckets.
+4. There they meet by longer strings than the gram: windows that reach far to the left by half a window before the gram,
+   others by half a window after it. So a gram that begins very many different contexts is dealt out.
+5. Spans go back to their documents, which meet them by a hash of (doc_id, text hash).
 
 Only packed arrays are shuffled, each bucket of bounded size at any corpus size (bucket counts follow the bytes).
 Texts are shuffled compressed, once for the contexts and once for the result.
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import deep_shallow
-from quillstone.llm.common import map_arrow, slices, stored, table, text_bytes
+from quillstone.llm.common import discard, map_arrow, slices, stored, table, text_bytes
 from quillstone.llm.hashing import mix
 from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, place, row, schema, unpack, unpack_all
 
@@ -39,27 +43,24 @@ LENGTH = 100
 GRAM = 24
 #: Bytes of text worked on at a time, held back before anchors are sent, and meant for one bucket.
 CHUNK, FLUSH, BUCKET = 1 << 20, 16 << 20, 8 << 20
+#: Contexts sorted at a time, where no key holds more.
+RUN = 50_000
 NO_ID = np.iinfo(np.int64).max
 
+
 class _Hasher:
-    """Two polynomial hashes, modulo 2**64 over random byte values, of any substring of a chunk from prefix sums."""
+    """A polynomial hash, modulo 2**64 over random byte values, of all substrings of one size from prefix sums."""
 
     def __init__(self, most: int):
-        rng = np.random.default_rng(20240607)
-        self.values = rng.integers(0, 2**63, (2, 256)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers, self.inverses = [], []
-        for base in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-            inverse = pow(base, -1, 1 << 64)
-            for factor, to in ((base, self.powers), (inverse, self.inverses)):
-                to.append(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(most, factor, np.uint64)]), dtype=np.uint64))
-
-    def prefix(self, data: np.ndarray, which: int) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[which][data] * self.powers[which][: len(data)], out=sums[1:])
-        return sums
+        self.values = np.random.default_rng(20240607).integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        base = 0x5851F42D4C957F2D
+        powers = lambda f: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(most, f, np.uint64)]), dtype=np.uint64)
+        self.powers, self.inverses = powers(base), powers(pow(base, -1, 1 << 64))
 
-    def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-        return mix((sums[ends] - sums[starts]) * self.inverses[which][starts])
+    def grams(self, data: np.ndarray, size: int) -> np.ndarray:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        return mix((sums[size:] - sums[:-size]) * self.inverses[: len(data) - size + 1])
 
 
 _HASHERS: dict[int, _Hasher] = {}
@@ -86,15 +87,13 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For the texts data[bounds[d]:bounds[d+1]]: document, place of anchor, first and last window start that pick it (places in data), gram hash, context hash."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+    """For the texts data[bounds[d]:bounds[d+1]]: document, place of anchor, first and last window start that pick it (places in data), gram hash."""
+    none = (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
     n = len(data)
     if n < length:
         return none
-    h = hasher(n)
-    sums = h.prefix(data, 0)
     starts = np.arange(n - gram + 1)
-    grams = mix((sums[gram:] - sums[:-gram]) * h.inverses[0][: n - gram + 1])
+    grams = hasher(n).grams(data, gram)
     place_bits = np.uint64(24)
     keyed = (grams >> place_bits << place_bits) | starts.astype(np.uint64)
     picked = (_window_min(keyed, length - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)  # of window i
@@ -107,9 +106,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     good = valid[lows]
     lows, highs = lows[good], highs[good]
     at = picked[lows]
-    second = h.prefix(data, 1)
-    context = h.of(second, lows, highs + length, 1) + mix(((at - lows) * 4096 + highs - lows).astype(np.uint64))
-    return doc[lows], at, lows, highs, grams[at], mix(context)
+    return doc[lows], at, lows, highs, grams[at]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,25 +124,34 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
                 yield piece, np.array([0, len(piece)]), ids[d : d + 1], tags[d : d + 1], np.array([start])
 
 
-_ENTRY = (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8)  # gram, context, id, tag, place, least and greatest offset
-_FLAG = (np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8)  # gram, id, tag, place, offsets
+_FLAG = (np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8)  # gram, id, tag, place, least and greatest offset
+_ENTRY = (*_FLAG, np.uint8)  # and whether the gram is known to stand more than once
 _SPAN = (np.int64, np.int64, np.uint32, np.uint32)  # id, tag, first window start, last
-REPEAT, PARTIAL, TEXT, SPAN = 0, 1, 2, 3
+LEFT, PARTIAL, TEXT, SPAN, RIGHT = range(5)
 
 
 def _send_anchors(length: int, gram: int, buckets: int):
+    """Anchors of grams that stand more than once in a flush to their documents' buckets, and one entry for each gram to those of other tasks."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-            yield from by_bucket((arrays[0] % np.uint64(buckets)).astype(np.int32), PARTIAL, arrays)
+            order = np.argsort(arrays[0], kind="stable")
+            arrays = [x[order] for x in arrays]
+            head = first_of(arrays[0])
+            known = ~head | np.append(~head[1:], False)
+            own = [x[known] for x in arrays]
+            yield from by_bucket(place(own[1], own[2], buckets), PARTIAL, own)
+            sent = [x[head] for x in (*arrays, known.astype(np.uint8))]
+            yield from by_bucket((sent[0] % np.uint64(buckets)).astype(np.int32), LEFT, sent)
 
         for data, bounds, ids, tags, starts in _pieces(batches, length):
-            doc, at, lows, highs, grams, contexts = anchors(data, bounds, length, gram)
+            doc, at, lows, highs, grams = anchors(data, bounds, length, gram)
             where = at - bounds[doc] + starts[doc]
-            held.append([grams, contexts, ids[doc], tags[doc], where.astype(np.uint32), (at - highs).astype(np.uint8), (at - lows).astype(np.uint8)])
+            held.append([grams, ids[doc], tags[doc], where.astype(np.uint32), (at - highs).astype(np.uint8), (at - lows).astype(np.uint8)])
             size += len(data)
             if size >= FLUSH:
                 yield from flush()
@@ -157,39 +163,16 @@ def _send_anchors(length: int, gram: int, buckets: int):
 
 
 def _meet(buckets: int):
-    """Anchors of a bucket: repeats from end to end, and contexts whose gram has others."""
+    """Anchors whose gram other tasks have too, back to their documents' buckets."""
 
     def task(group: pa.Table) -> pa.Table:
-        grams, contexts, ids, tags, places, least, most = unpack_all(group.column("data").to_pylist(), *_ENTRY)
-        order = np.argsort(grams, kind="stable")
-        ordered = grams[order]
-        twin = np.zeros(len(order), bool)
-        twin[1:] = ordered[1:] == ordered[:-1]
-        twin[:-1] |= ordered[1:] == ordered[:-1]
-        keep = order[twin]
-        grams, contexts, ids, tags, places, least, most = (x[keep] for x in (grams, contexts, ids, tags, places, least, most))
-        order = np.lexsort((places, tags, ids, contexts, grams))
-        grams, contexts, ids, tags, places, least, most = (x[order] for x in (grams, contexts, ids, tags, places, least, most))
-        once = first_of(grams, contexts, ids, tags, places)  # rows that repeat a document are one
-        grams, contexts, ids, tags, places, least, most = (x[once] for x in (grams, contexts, ids, tags, places, least, most))
-        head = first_of(grams, contexts)
-        new_gram = first_of(grams)
-        of = np.cumsum(new_gram) - 1
-        several = np.bincount(of[head], minlength=int(of[-1]) + 1 if len(of) else 0)[of] > 1 if len(of) else np.zeros(0, bool)
-        kinds = np.where(head, np.where(several, PARTIAL, -1), REPEAT)
-        out = []
-        for kind in (REPEAT, PARTIAL):
-            some = np.flatnonzero(kinds == kind)
-            arrays = [x[some] for x in (grams, ids, tags, places, least, most)]
-            if kind == REPEAT:
-                at = arrays[3].astype(np.int64)
-                first, last = at - arrays[5], at - arrays[4]
-                joined = np.lexsort((first, arrays[2], arrays[1]))
-                spans = _join_spans(*(x[joined] for x in (arrays[1], arrays[2], first, last)))
-                out += by_bucket(place(spans[0], spans[1], buckets), SPAN, list(spans))
-            else:
-                out += by_bucket(place(arrays[1], arrays[2], buckets), PARTIAL, arrays)
-        return pa.Table.from_batches(out, schema())
+        arrays = unpack_all(group.column("data").to_pylist(), *_ENTRY)
+        order = np.argsort(arrays[0], kind="stable")
+        *arrays, known = (x[order] for x in arrays)
+        head = first_of(arrays[0])
+        several = (~head | np.append(~head[1:], False)) & (known == 0) if len(head) else head
+        own = [x[several] for x in arrays]
+        return pa.Table.from_batches(list(by_bucket(place(own[1], own[2], buckets), PARTIAL, own)), schema())
 
     return task
 
@@ -273,69 +256,163 @@ def _find(ids, tags, of_ids, of_tags) -> np.ndarray:
     return out[n:]
 
 
+def _spans_of(found: np.ndarray, ids, tags, places) -> tuple[np.ndarray, ...]:
+    """Spans of window starts that a matrix (context, offset) marks."""
+    edge = np.zeros((len(found), found.shape[1] + 2), np.int8)
+    edge[:, 1:-1] = found
+    steps = np.diff(edge, axis=1)
+    which, first = np.nonzero(steps == 1)
+    _, last = np.nonzero(steps == -1)
+    at = places[which].astype(np.int64)
+    start, stop = at - (last - 1), at - first
+    order = np.lexsort((start, tags[which], ids[which]))
+    return _join_spans(ids[which][order], tags[which][order], start[order], stop[order])
+
+
+def _runs(keys: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of keys that stand more than once, key by key, in runs of about most; no key is parted."""
+    order = np.argsort(keys, kind="stable")
+    head = first_of(keys[order])
+    order = order[~head | np.append(~head[1:], False)] if len(order) else order
+    cuts = np.flatnonzero(first_of(keys[order]))
+    start = 0
+    while start < len(order):
+        later = cuts[np.searchsorted(cuts, start + most) :]
+        stop = int(later[0]) if len(later) else len(order)
+        yield order[start:stop]
+        start = stop
+
+
+def _hash_rows(strings: np.ndarray) -> np.ndarray:
+    padded = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
+    padded[:, : strings.shape[1]] = strings
+    out = np.zeros(len(strings), np.uint64)
+    for word in padded.view(np.uint64).T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out
+
+
+class _Sides:
+    """The two ways in which contexts meet: by half a window before the gram (offsets from half on), or after it (others)."""
+
+    def __init__(self, length: int, gram: int):
+        self.reach, self.half = length - gram, (length - gram) // 2
+        self.length, self.gram = length, gram
+        self.before = {LEFT: self.reach, RIGHT: self.half - 1}  # bytes before the anchor
+        self.after = {LEFT: length - self.half, RIGHT: length}
+
+    def offsets(self, kind: int, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (np.maximum(least, self.half), most) if kind == LEFT else (least, np.minimum(most, self.half - 1))
+
+    def key(self, kind: int, strings: np.ndarray) -> np.ndarray:
+        at = self.reach
+        return _hash_rows(strings[:, at - self.half : at + self.gram] if kind == LEFT else strings[:, at : at + self.length - self.half + 1])
+
+    def part(self, kind: int, strings: np.ndarray) -> np.ndarray:
+        return strings[:, self.reach - self.before[kind] : self.reach + self.after[kind]]
+
+
 def _contexts(length: int, gram: int, buckets: int):
-    """Strings around the anchors that have to be compared, by gram."""
-    reach = length - gram
+    """Contexts of a bucket's own documents: repeats among them, and what is left for those of other buckets."""
+    sides = _Sides(length, gram)
 
     def task(group: pa.Table) -> pa.Table:
-        out = []
-        grams, ids, tags, places, least, most = unpack_all(_blobs(group, PARTIAL), *_FLAG)
-        if len(grams):
+        out: list[pa.RecordBatch] = []
+        own = unpack_all(_blobs(group, PARTIAL), *_FLAG)
+        if len(own[0]):
+            order = np.lexsort((own[3], own[2], own[1], own[0]))
+            own = [x[order] for x in own]
+            once = first_of(*own[:4])  # rows that repeat a document are one
+            grams, ids, tags, places, least, most = (x[once] for x in own)
             of_ids, of_tags, lengths, data = _texts(group)
-            ends = np.cumsum(lengths)
+            padded = np.concatenate([np.zeros(sides.reach, np.uint8), data, np.zeros(length, np.uint8)])
             doc = _find(ids, tags, of_ids, of_tags)
-            padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
-            at = ends[doc] - lengths[doc] + places
-            for a in range(0, len(at), 200_000):
-                some = slice(a, a + 200_000)
-                strings = padded[at[some, None] + np.arange(reach + length)]
-                target = (grams[some] % np.uint64(buckets)).astype(np.int32)
-                out += by_bucket(target, PARTIAL, [x[some] for x in (grams, ids, tags, places, least, most)] + [strings])
+            at = np.cumsum(lengths)[doc] - lengths[doc] + places
+            strings_of = lambda some: padded[at[some, None] + np.arange(sides.reach + length)]
+            left = np.ones(len(grams), bool)
+            for some in _runs(grams, RUN):
+                s = strings_of(some)
+                found = repeats(s[:, : sides.reach][:, ::-1], s[:, sides.reach :], *(x[some] for x in (ids, tags, places, least, most)), length)
+                left[some] = found.sum(axis=1) < most[some].astype(np.int64) - least[some] + 1
+                spans = _spans_of(found, ids[some], tags[some], places[some])
+                out += by_bucket(np.full(len(spans[0]), int(group.column("bucket")[0].as_py()), np.int32), SPAN, list(spans))
+            rest = np.flatnonzero(left)
+            for a in range(0, len(rest), RUN):
+                for kind in (LEFT, RIGHT):
+                    some = rest[a : a + RUN]
+                    low, high = sides.offsets(kind, least[some], most[some])
+                    some, low, high = some[low <= high], low[low <= high], high[low <= high]
+                    s = strings_of(some)
+                    key = sides.key(kind, s)
+                    out += by_bucket((key % np.uint64(buckets)).astype(np.int32), kind, [key, ids[some], tags[some], places[some], low.astype(np.uint8), high.astype(np.uint8), sides.part(kind, s)])
         return pa.Table.from_batches(out, schema())
 
     return task
 
 
+def _heads(order: np.ndarray, common: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted order and its common prefixes, of chosen rows only; they are numbered anew."""
+    number = np.cumsum(chosen) - 1
+    at = np.flatnonzero(chosen[order])
+    out = np.zeros(len(at), np.int64)
+    if len(at) > 1:
+        out[1:] = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1)
+    return number[order[at]], out
+
+
 def repeats(left: np.ndarray, right: np.ndarray, ids, tags, places, least, most, length: int = LENGTH) -> np.ndarray:
-    """Matrix: is the window of context c at offset o the same as an earlier one? left: reversed strings before the anchors."""
+    """Matrix: is the window of context c at offset o the same as an earlier one? left: reversed strings before the anchors.
+
+    Of contexts that the sorted orders find equal from end to end, with the same offsets, the earliest goes on.
+    """
     n, reach = left.shape
-    out = np.zeros((n, reach + 1), bool)
-    by_right, common_right = deep_shallow.sort(right)
-    by_left, common_left = deep_shallow.sort(left)
+    offsets = np.arange(reach + 1)
+    by_right, common_right = deep_shallow.sort(np.ascontiguousarray(right))
+    by_left, common_left = deep_shallow.sort(np.ascontiguousarray(left))
     rank = np.empty(n, np.int64)
     rank[np.lexsort((places, tags, ids))] = np.arange(n)
-    for o in range(reach + 1):
+    right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    right_class[by_right] = np.cumsum(common_right < right.shape[1])
+    left_class[by_left] = np.cumsum(common_left < reach)
+    order = np.lexsort((rank, most, least, left_class, right_class))
+    first = np.zeros(n, bool)
+    first[order] = first_of(*(x[order] for x in (right_class, left_class, least, most)))
+    out = ~first[:, None] & (least[:, None] <= offsets) & (offsets <= most[:, None])
+    heads = np.flatnonzero(first)
+    (by_right, common_right), (by_left, common_left) = _heads(by_right, common_right, first), _heads(by_left, common_left, first)
+    rank, least, most = rank[heads], least[heads], most[heads]
+    m = len(heads)
+    right_class, left_class = np.empty(m, np.int64), np.empty(m, np.int64)
+    for o in range(int(least.min()), int(most.max()) + 1) if m > 1 else ():
         some = np.flatnonzero((least <= o) & (o <= most))
         if len(some) < 2:
             continue
-        right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
         right_class[by_right] = np.cumsum(common_right < length - o)
         left_class[by_left] = np.cumsum(common_left < o)
-        key = right_class[some] * (n + 1) + left_class[some]
+        key = right_class[some] * (m + 1) + left_class[some]
         order = np.lexsort((rank[some], key))
         again = np.zeros(len(some), bool)
         again[order[1:]] = key[order[1:]] == key[order[:-1]]
-        out[some[again], o] = True
+        out[heads[some[again]], o] = True
     return out
 
 
 def _compare(length: int, gram: int, buckets: int):
-    reach = length - gram
+    """Repeats among contexts of all buckets."""
+    sides = _Sides(length, gram)
 
     def task(group: pa.Table) -> pa.Table:
-        grams, ids, tags, places, least, most, strings = unpack_all(group.column("data").to_pylist(), *_FLAG, np.uint8)
-        strings = strings.reshape(len(grams), reach + length)
-        found = repeats(np.ascontiguousarray(strings[:, :reach][:, ::-1]), np.ascontiguousarray(strings[:, reach:]), ids, tags, places, least, most, length)
-        edge = np.zeros((len(grams), reach + 3), np.int8)
-        edge[:, 1:-1] = found
-        steps = np.diff(edge, axis=1)
-        row, first = np.nonzero(steps == 1)
-        _, last = np.nonzero(steps == -1)
-        at = places[row].astype(np.int64)
-        start, stop = at - (last - 1), at - first
-        order = np.lexsort((start, tags[row], ids[row]))
-        spans = _join_spans(ids[row][order], tags[row][order], start[order], stop[order])
-        return pa.Table.from_batches(list(by_bucket(place(spans[0], spans[1], buckets), SPAN, list(spans))), schema())
+        out: list[pa.RecordBatch] = []
+        for kind in (LEFT, RIGHT):
+            before = sides.before[kind]
+            keys, ids, tags, places, least, most, strings = unpack_all(_blobs(group, kind), *_FLAG, np.uint8)
+            strings = strings.reshape(len(keys), before + sides.after[kind])
+            for some in _runs(keys, RUN):
+                s = strings[some]
+                found = repeats(s[:, :before][:, ::-1], s[:, before:], *(x[some] for x in (ids, tags, places, least, most)), length)
+                spans = _spans_of(found, ids[some], tags[some], places[some])
+                out += by_bucket(place(spans[0], spans[1], buckets), SPAN, list(spans))
+        return pa.Table.from_batches(out, schema())
 
     return task
 
@@ -415,12 +492,13 @@ def _bytes_of(docs: DataFrame) -> int:
 
 def _repeated(docs: DataFrame, texts: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """Packed spans of repeated windows by document bucket. docs: doc_id long, text string, tag long; texts: what _send_texts made of them."""
-    sent = map_arrow(docs, _send_anchors(length, gram, buckets), BLOB)
-    met = stored(sent.groupBy("bucket").applyInArrow(_meet(buckets), BLOB), "suffix-meet")
-    partial = met.where(F.col("kind") == PARTIAL)
-    contexts = texts.unionByName(partial).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), BLOB)
-    compared = contexts.groupBy("bucket").applyInArrow(_compare(length, gram, buckets), BLOB)
-    return met.where(F.col("kind") == SPAN).unionByName(compared)
+    sent = stored(map_arrow(docs, _send_anchors(length, gram, buckets), BLOB), "suffix-anchors")
+    met = sent.where(F.col("kind") == LEFT).groupBy("bucket").applyInArrow(_meet(buckets), BLOB)
+    partial = sent.where(F.col("kind") == PARTIAL).unionByName(met)
+    own = stored(texts.unionByName(partial).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), BLOB), "suffix-contexts")
+    discard(sent)
+    compared = own.where(F.col("kind") != SPAN).groupBy("bucket").applyInArrow(_compare(length, gram, buckets), BLOB)
+    return own.where(F.col("kind") == SPAN).unionByName(compared)
 
 
 def _key_columns() -> tuple:
