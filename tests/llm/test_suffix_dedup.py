@@ -88,3 +88,38 @@ def test_sort_orders_and_measures():
         assert placed == sorted(placed)
         for a, b, k in zip(placed, placed[1:], common[1:].tolist()):
             assert a[:k] == b[:k] and (k == length or a[k] != b[k])
+
+
+def test_keys_part_one_gram_with_many_contexts():
+    """Contexts around one gram: only windows that are equal in all bytes repeat, whichever side they reach to."""
+    rng = np.random.default_rng(6)
+    n, reach, length = 400, 76, 100
+    strings = rng.integers(97, 99, (n, reach + length)).astype(np.uint8)
+    strings[:, reach : reach + 24] = 120
+    for i in range(0, n, 4):  # each fourth shares a stretch around the gram with the first
+        a, b = rng.integers(0, reach + 1), rng.integers(reach + 24, reach + length + 1)
+        strings[i, a:b] = strings[0, a:b]
+    ids, tags, places = np.arange(n), np.zeros(n, np.int64), np.full(n, 1000, np.uint32)
+    least, most = np.zeros(n, np.uint8), np.full(n, reach, np.uint8)
+    want = np.zeros((n, reach + 1), bool)
+    seen = set()
+    for i in range(n):
+        for o in range(reach + 1):
+            w = o, strings[i, reach - o : reach - o + length].tobytes()
+            want[i, o] = w in seen
+            seen.add(w)
+    assert 0 < want.sum() < want.size / 2
+    whole = suffix_dedup.repeats(strings[:, :reach][:, ::-1], strings[:, reach:], ids, tags, places, least, most)
+    assert (whole == want).all()
+    sides = suffix_dedup._Sides(length, 24)
+    for kind in (suffix_dedup.LEFT, suffix_dedup.RIGHT):
+        low, high = sides.offsets(kind, least, most)
+        before = sides.before[kind]
+        part = sides.part(kind, strings)
+        found = np.zeros_like(want)
+        keys = sides.key(kind, strings)
+        assert len(np.unique(keys)) > n // 2
+        for some in suffix_dedup._runs(keys, 20):
+            found[some, : before + 1] = suffix_dedup.repeats(part[some][:, :before][:, ::-1], part[some][:, before:], *(x[some] for x in (ids, tags, places, low, high)))
+        offsets = slice(int(low.min()), int(high.max()) + 1)
+        assert (found[:, offsets] == want[:, offsets]).all()
