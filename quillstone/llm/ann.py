@@ -8,12 +8,12 @@ Search: rows are put in blocks by a hash of their id, queries too, and every blo
 There a query's tables (two subspaces to a byte of codes) are summed over the codes. Inner products of the best RERANK rows,
 taken exactly in double precision, give a k-th best score; every other row whose score could reach it goes on as well, and
 none else: the angle between query and row is at least that between query and decoded row less that between row and decoded
-row, so the table's sum bounds the score from above. Nothing is cut, results are those of a full scan. Blocks are bounded,
-so is a task's memory. The best of all blocks are merged by exact score. Equal vectors in a block are searched once and
+row, so the table's sum bounds the score from above. Nothing is cut, results are those of a full scan. Blocks hold CELLS
+components at most, so a task's memory is bounded; a row is copied once for each block of queries. The best of all blocks are merged by exact score. Equal vectors in a block are searched once and
 stand for their smallest ids.
 
-Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part; if vectors differ
-in length, only those of the commonest length (the longer on a tie) take part; a query finds all others if they are
+Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part; vectors of one
+length are searched by themselves, as others have no inner product with them; a query finds all others if they are
 fewer than k; ties go to the smaller vec_id; rows with a null vec_id take no part; a row that repeats a vec_id is another
 candidate of that id, but never of its own query id.
 """
@@ -32,7 +32,10 @@ from quillstone.llm.common import map_arrow, ship, table
 WORDS = 16
 SAMPLE = 10_000
 RERANK = 96
-ROWS, QUERIES = 16_384, 1_024
+#: Components of the rows of a block, and of its queries.
+CELLS = 1 << 20
+#: Queries whose tables are held at a time.
+TABLES = 256
 THRESHOLD = 0.2
 
 
@@ -120,11 +123,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & good & F.exists(vector, lambda x: x != 0)
 
 
-def _clean(rows: DataFrame) -> tuple[DataFrame, int]:
+def _clean(rows: DataFrame) -> DataFrame:
     some = rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("embedding")), F.lit(False)))
-    some = some.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sizes = some.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return (some, 0) if sizes is None else (some.where(F.size("embedding") == sizes["d"]), sizes["d"])
+    return some.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def _matrix(column, dimensions: int) -> np.ndarray:
@@ -199,7 +200,6 @@ def scan(quantiser: Quantiser, query_ids, queries, ids, vectors, codes, k: int,
     by = np.argsort(of, kind="stable")  # members of each distinct vector, by id
     bounds = np.concatenate([[0], np.cumsum(np.bincount(of))])
     distinct, columns = vectors[first], np.ascontiguousarray(codes[first].T)
-    tables = quantiser.tables(queries)
     bound = Bound(distinct, quantiser.decode(codes[first]), len(columns))
 
     def ordered(some: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,15 +209,17 @@ def scan(quantiser: Quantiser, query_ids, queries, ids, vectors, codes, k: int,
 
     out: list[tuple] = []
     for q in range(len(queries)):
+        if q % TABLES == 0:
+            tables = quantiser.tables(queries[q : q + TABLES])
         rough = np.zeros(len(first), np.float32)
-        for t, c in zip(tables[q], columns, strict=True):
+        for t, c in zip(tables[q % TABLES], columns, strict=True):
             rough += t[c]
         some, query, own = best(rough, rerank), queries[q], query_ids[q]
         r, s = _top(*ordered(some, query), ids, by, bounds, own, k)
         if len(some) < len(first):
             least = s[k - 1] if len(s) == k else -np.inf
             # comparisons are turned round so that a bound that is not a number drops no row
-            more = np.flatnonzero(~(bound(rough, tables[q], query) < least))
+            more = np.flatnonzero(~(bound(rough, tables[q % TABLES], query) < least))
             # the same products by matrix, whose last bits depend on a row's place; those near the edge are summed again
             product = distinct[more] @ query if 4 * len(more) < len(first) else (distinct @ query)[more]
             margin = 1e-12 * (1 + len(query)) * bound.norm[more] * np.linalg.norm(query)
@@ -249,25 +251,32 @@ def _search(quantiser: Quantiser, dimensions: int, k: int, rerank: int):
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score of the k rows of greatest inner product with each query. rows, queries: vec_id, embedding."""
     ship(rows.sparkSession)
-    clean, dimensions = _clean(rows)
-    if not dimensions:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = clean.count()
+    clean, asked = _clean(rows), _clean(queries)
+    lengths = lambda df: {r["d"]: r["n"] for r in df.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
+    there, wanted = lengths(clean), lengths(asked)
+    found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for d in sorted(there.keys() & wanted.keys()):
+        same = F.size("embedding") == d
+        found = found.unionByName(_of_one_length(clean.where(same), there[d], asked.where(same), wanted[d], d, k, rerank))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_one_length(rows: DataFrame, n: int, queries: DataFrame, n_queries: int, dimensions: int, k: int, rerank: int) -> DataFrame:
+    """query_id, vec_id, score: of every block the k best rows for each query, and more."""
     share = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE / n)))
-    sample = [r[0] for r in clean.where(share).orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(2 * SAMPLE).collect()]
+    sample = [r[0] for r in rows.where(share).orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(2 * SAMPLE).collect()]
     if not sample:
-        sample = [r[0] for r in clean.select("embedding").limit(SAMPLE).collect()]
+        sample = [r[0] for r in rows.select("embedding").limit(SAMPLE).collect()]
     quantiser = Quantiser(dimensions).fit(np.array(sample))
-    coded = map_arrow(clean, _encode(quantiser, dimensions), "vec_id long, embedding array<double>, code binary")
-    asked = _clean(queries)[0].where(F.size("embedding") == dimensions)
-    row_blocks, query_blocks = -(-n // ROWS), max(1, -(-asked.count() // QUERIES))
+    coded = map_arrow(rows, _encode(quantiser, dimensions), "vec_id long, embedding array<double>, code binary")
+    size = max(1, CELLS // dimensions)
+    row_blocks, query_blocks = -(-n // size), max(1, -(-n_queries // size))
     block = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = coded.select(F.lit(False).alias("is_query"), "vec_id", "embedding", "code", block(11, row_blocks).alias("r"), every(query_blocks).alias("q"))
-    right = asked.select(F.lit(True).alias("is_query"), "vec_id", "embedding", F.lit(b"").alias("code"), every(row_blocks).alias("r"), block(13, query_blocks).alias("q"))
-    found = left.unionByName(right).groupBy("r", "q").applyInArrow(_search(quantiser, dimensions, k, rerank), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    right = queries.select(F.lit(True).alias("is_query"), "vec_id", "embedding", F.lit(b"").alias("code"), every(row_blocks).alias("r"), block(13, query_blocks).alias("q"))
+    return left.unionByName(right).groupBy("r", "q").applyInArrow(_search(quantiser, dimensions, k, rerank), "query_id long, vec_id long, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ def test_recall_on_the_embeddings(spark):
 
 
 def test_blocks_copies_and_bad_vectors(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ROWS", 100)
-    monkeypatch.setattr(ann, "QUERIES", 8)
+    monkeypatch.setattr(ann, "CELLS", 7 * 9)  # blocks of 9 rows and 9 queries
+    monkeypatch.setattr(ann, "TABLES", 4)
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(size=7).tolist()) for i in range(300)]
     vectors += [(300 + i, vectors[0][1]) for i in range(120)]
@@ -44,6 +44,10 @@ def test_blocks_copies_and_bad_vectors(spark, monkeypatch):
     assert recall(got, vectors, queries) > 0.9
     mine = [(r.vec_id) for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)]
     assert mine == [i for i, _ in exact(vectors, vectors[0][1], 0, 20)]
+    more = spark.createDataFrame([(*v, 1) for v in vectors] + [(2000 + i, [float(i), -1.0], 2) for i in range(1, 30)], "vec_id long, embedding array<double>, score int")
+    both = [(r.query_id, r.vec_id, r.score) for r in ann.search(more, more.where("vec_id in (0, 2010, 2020)"), k=3).orderBy("query_id", "rank").collect()]
+    assert [x[:2] for x in both[:3]] == [(0, i) for i, _ in exact(vectors, vectors[0][1], 0, 3)]
+    assert both[3:] == [(2010, 2029, 291.0), (2010, 2028, 281.0), (2010, 2027, 271.0), (2020, 2029, 581.0), (2020, 2028, 561.0), (2020, 2027, 541.0)]
     few = spark.createDataFrame(vectors[:4], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in ann.search(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(k + 1, i) for k, (i, _) in enumerate(exact(vectors[:4], vectors[0][1], 0, 20))]
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
