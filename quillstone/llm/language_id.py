@@ -159,7 +159,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     if not sizes:
         return None
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, per_language / n))))))
-    some = usable.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    some = usable.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")])
+    some = some.groupBy("lang", "doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))  # rows that repeat are learned once, so the sample is bounded
     got = map_arrow(some.select("text", "lang"), _sample, "lang string, at binary, counts binary").collect()
     rows = [(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(float)) for r in got]
     rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
