@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import BLANKS, let, stored, words_of
 
 WINDOW = 8
+#: Labelled documents that are learned from, about.
+MOST_ROWS = 200_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios that rules may test; each is a name and an expression over the statistics.
 FEATURES = {
@@ -97,6 +99,8 @@ class Test:
 @dataclass(frozen=True)
 class Rule:
     tests: tuple[Test, ...]
+    bad: int = 0  #: labelled rows set aside for pruning that it covers, and how many of them are good
+    good: int = 0
 
     def column(self) -> Column:
         out = F.lit(True)
@@ -105,7 +109,7 @@ class Rule:
         return out
 
     def __str__(self) -> str:
-        return " and ".join(map(str, self.tests))
+        return f"{' and '.join(map(str, self.tests))} ({self.bad} bad, {self.good} good set aside)"
 
 
 def _edges(rows: DataFrame, bins: int) -> dict[str, list[float]]:
@@ -171,7 +175,7 @@ def _grow(rows: DataFrame, edges: dict[str, list[float]], longest: int, least: i
     return tests, pruned
 
 
-def fit(labelled: DataFrame, *, most_rows: int = 200_000, most_rules: int = 6, longest: int = 3, bins: int = 16, least: int = 8, precision: float = 0.9) -> list[Rule]:
+def fit(labelled: DataFrame, *, most_rows: int = MOST_ROWS, most_rules: int = 6, longest: int = 3, bins: int = 16, least: int = 8, precision: float = 0.9) -> list[Rule]:
     """Learn rules that reject. labelled: the statistics and an integer column bad (1: reject), plus a key column doc_id.
 
     most_rows bounds the labelled sample, taken by a hash of doc_id. A rule is kept if, on the rows set aside for
@@ -193,7 +197,7 @@ def fit(labelled: DataFrame, *, most_rows: int = 200_000, most_rules: int = 6, l
         p, n = pruned[cut]
         if p + n == 0 or p / (p + n) < precision:
             break
-        rules.append(Rule(tuple(tests[: cut + 1])))
+        rules.append(Rule(tuple(tests[: cut + 1]), p, n))
         rows = rows.where(~rules[-1].column())
     return rules
 
@@ -206,19 +210,30 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def judge(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, list[Rule]]:
+def _marked(labels: DataFrame, most_rows: int) -> DataFrame:
+    """doc_id and bad of labelled documents, each label of a document once; about most_rows of them at most, by hash of doc_id."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") == 0).cast("int").alias("bad")).distinct()
+    known = stored(known, "quality-marked")
+    total = known.count()
+    share = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(most_rows / max(total, 1) * 1_000_000))
+    return known if total <= most_rows else known.where(share)
+
+
+def judge(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **options) -> tuple[DataFrame, list[Rule]]:
     """Statistics and verdict of every row of docs (doc_id and the statistics, without texts), and the rules fitted on labels."""
     stats = stored(statistics(docs.select("doc_id", "text")).drop("text"), "quality-stats")
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
-    rules = fit(stored(stats.join(marked, "doc_id").where(~base_failed()), "quality-labelled"), **options)
+    rules = fit(stored(stats.join(F.broadcast(_marked(labels, most_rows)), "doc_id").where(~base_failed()), "quality-labelled"), most_rows=most_rows, **options)
     return stats.withColumns({"base_failed": base_failed(), "kept": verdict(rules)}), rules
 
 
-def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Documents that the rules keep, with their own columns. Statistics of the rows to judge are computed beside the text again rather than joined to it."""
-    sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
-    marked = docs.select("doc_id", "text").join(sample, "doc_id")
-    rules = fit(stored(statistics(marked).drop("text").where(~base_failed()), "quality-labelled"), **options)
+def keep(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **options) -> DataFrame:
+    """Documents that the rules keep, with their own columns.
+
+    No text is shuffled: the labelled sample, bounded by most_rows, is broadcast to the texts it needs the statistics of,
+    and those of the rows to judge are computed beside the text again.
+    """
+    marked = docs.select("doc_id", "text").join(F.broadcast(_marked(labels, most_rows)), "doc_id")
+    rules = fit(stored(statistics(marked).drop("text").where(~base_failed()), "quality-labelled"), most_rows=most_rows, **options)
     inner = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
     return statistics(inner, "__text").where(verdict(rules)).select("__row.*")
 
