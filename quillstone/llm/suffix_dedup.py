@@ -6,8 +6,8 @@ document further left) is removed; matches never cross documents and are judged
 1. Each window of LENGTH bytes picks an anchor: the leftmost of its GRAM-byte grams whose hash is least. Equal windows
    pick it at the same offset, so windows are compared anchor by anchor; the windows of one anchor form a context. Hashes
    only say which contexts can meet, bytes decide.
-2. Anchors meet by gram. Those whose gram stands more than once go back to their documents; within a flush of a task they
-   do so at once, and one entry meets those of other tasks.
+2. Grams meet, with the bucket of their document only. Those that stand more than once go back to these buckets; within a
+   flush of a task they do so at once, and one entry meets those of other tasks. There anchors are picked once more.
 3. Contexts are sorted twice by deep-shallow sorting: the suffixes that start at the anchors, and the reversed strings that
    end before them. A window at offset o before its anchor equals another if the two agree in o bytes on the left and
    LENGTH - o on the right; both are runs of the sorted orders by their common prefixes. This is done first in the
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import deep_shallow
-from quillstone.llm.common import discard, map_arrow, slices, stored, table, text_bytes
+from quillstone.llm.common import map_arrow, slices, table, text_bytes
 from quillstone.llm.hashing import mix
 from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, place, row, schema, unpack, unpack_all
 
@@ -109,49 +109,52 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     return doc[lows], at, lows, highs, grams[at]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """data, bounds, ids, tags, and where in its text each piece starts. A text over CHUNK is cut into pieces that overlap by length - 1 bytes: each window lies in just one."""
-    for batch in slices(batches, "text", CHUNK):
-        data, bounds = text_bytes(batch.column("text"))
-        ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        tags = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(data) <= 2 * CHUNK:
-            yield data, bounds, ids, tags, np.zeros(len(ids), np.int64)
-            continue
-        for d in range(len(ids)):
-            for start in range(0, max(1, int(bounds[d + 1] - bounds[d]) - length + 1), CHUNK):
-                piece = data[bounds[d] + start : min(bounds[d + 1], bounds[d] + start + CHUNK + length - 1)]
-                yield piece, np.array([0, len(piece)]), ids[d : d + 1], tags[d : d + 1], np.array([start])
+def _pieces(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Parts of about CHUNK bytes: the first document, its bounds in data, and where in the text each begins. A text over CHUNK is cut into pieces that overlap by length - 1 bytes: each window lies in just one."""
+    d, n = 0, len(bounds) - 1
+    while d < n:
+        e = max(d + 1, int(np.searchsorted(bounds, bounds[d] + CHUNK, side="right")) - 1)
+        if e > d + 1 or bounds[e] - bounds[d] <= 2 * CHUNK:
+            yield d, bounds[d : e + 1], np.zeros(e - d, np.int64)
+        else:
+            for start in range(0, max(1, int(bounds[e] - bounds[d]) - length + 1), CHUNK):
+                yield d, bounds[d] + np.array([start, min(int(bounds[e] - bounds[d]), start + CHUNK + length - 1)]), np.array([start])
+        d = e
+
 
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
 
-_FLAG = (np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8)  # gram, id, tag, place, least and greatest offset
-_ENTRY = (*_FLAG, np.uint8)  # and whether the gram is known to stand more than once
+
+_FLAG = (np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8)  # key, id, tag, place, least and greatest offset
+_GRAM = (np.uint64, np.int32, np.uint8)  # gram, bucket of its document, whether it is known to stand more than once
 _SPAN = (np.int64, np.int64, np.uint32, np.uint32)  # id, tag, first window start, last
-LEFT, PARTIAL, TEXT, SPAN, RIGHT = range(5)
+LEFT, MET, TEXT, SPAN, RIGHT, GRAM_OF = range(6)
 
 
-def _send_anchors(length: int, gram: int, buckets: int):
-    """Anchors of grams that stand more than once in a flush to their documents' buckets, and one entry for each gram to those of other tasks."""
+def _send_grams(length: int, gram: int, buckets: int):
+    """Grams of anchors that stand more than once in a flush to their documents' buckets, and one entry for each gram to those of other tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-            order = np.argsort(arrays[0], kind="stable")
-            arrays = [x[order] for x in arrays]
-            head = first_of(arrays[0])
+            grams, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((own, grams))
+            grams, own = grams[order], own[order]
+            head = first_of(grams)
             known = ~head | np.append(~head[1:], False)
-            own = [x[known] for x in arrays]
-            yield from by_bucket(place(own[1], own[2], buckets), PARTIAL, own)
-            sent = [x[head] for x in (*arrays, known.astype(np.uint8))]
-            yield from by_bucket((sent[0] % np.uint64(buckets)).astype(np.int32), LEFT, sent)
-
-        for data, bounds, ids, tags, starts in _pieces(batches, length):
-            doc, at, lows, highs, grams = anchors(data, bounds, length, gram)
-            where = at - bounds[doc] + starts[doc]
-            held.append([grams, ids[doc], tags[doc], where.astype(np.uint32), (at - highs).astype(np.uint8), (at - lows).astype(np.uint8)])
+            once = known & first_of(grams, own)
+            yield from by_bucket(own[once], MET, [grams[once]])
+            yield from by_bucket((grams[head] % np.uint64(buckets)).astype(np.int32), GRAM_OF, [grams[head], own[head], known[head].astype(np.uint8)])
+
+        for batch in slices(batches, "text", CHUNK):
+            data, bounds = text_bytes(batch.column("text"))
+            own = place(*_ids(batch), buckets)
+            for d, cuts, _ in _pieces(data, bounds, length):
+                doc, _, _, _, grams = anchors(data[cuts[0] : cuts[-1]], cuts - cuts[0], length, gram)
+                held.append((grams, own[d + doc]))
             size += len(data)
             if size >= FLUSH:
                 yield from flush()
@@ -163,16 +166,17 @@ def _send_anchors(length: int, gram: int, buckets: int):
 
 
 def _meet(buckets: int):
-    """Anchors whose gram other tasks have too, back to their documents' buckets."""
+    """Grams that other tasks have too, back to their documents' buckets; what is known already passes."""
 
     def task(group: pa.Table) -> pa.Table:
-        arrays = unpack_all(group.column("data").to_pylist(), *_ENTRY)
-        order = np.argsort(arrays[0], kind="stable")
-        *arrays, known = (x[order] for x in arrays)
-        head = first_of(arrays[0])
+        bucket = int(group.column("bucket")[0].as_py())
+        grams, own, known = unpack_all(_blobs(group, GRAM_OF), *_GRAM)
+        order = np.argsort(grams, kind="stable")
+        grams, own, known = grams[order], own[order], known[order]
+        head = first_of(grams)
         several = (~head | np.append(~head[1:], False)) & (known == 0) if len(head) else head
-        own = [x[several] for x in arrays]
-        return pa.Table.from_batches(list(by_bucket(place(own[1], own[2], buckets), PARTIAL, own)), schema())
+        out = [row(bucket, MET, blob) for blob in _blobs(group, MET)]
+        return pa.Table.from_batches([*out, *by_bucket(own[several], MET, [grams[several]])], schema())
 
     return task
 
@@ -219,8 +223,7 @@ def _send_texts(buckets: int, others: tuple[str, ...] = ()):
 
         for batch in slices(batches, "text", CHUNK):
             data, bounds = text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((data, ids, batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds)))
+            held.append((data, *_ids(batch), np.diff(bounds)))
             if others:
                 rest.append(batch.select(list(others)))
             size += len(data)
@@ -318,16 +321,24 @@ def _contexts(length: int, gram: int, buckets: int):
 
     def task(group: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
-        own = unpack_all(_blobs(group, PARTIAL), *_FLAG)
-        if len(own[0]):
-            order = np.lexsort((own[3], own[2], own[1], own[0]))
-            own = [x[order] for x in own]
-            once = first_of(*own[:4])  # rows that repeat a document are one
-            grams, ids, tags, places, least, most = (x[once] for x in own)
+        (met,) = unpack_all(_blobs(group, MET), np.uint64)
+        met = np.unique(met)
+        if len(met):
             of_ids, of_tags, lengths, data = _texts(group)
+            bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            order = np.lexsort((of_tags, of_ids))
+            once = np.zeros(len(order), bool)
+            once[order[first_of(of_ids[order], of_tags[order])]] = True  # rows that repeat a document are one
+            held: list[list[np.ndarray]] = [[x[:0] for x in (met, of_ids, of_tags, np.zeros(0, np.uint32), *(np.zeros(0, np.uint8),) * 2, bounds)]]
+            for d, cuts, starts in _pieces(data, bounds, length):
+                doc, at, lows, highs, grams = anchors(data[cuts[0] : cuts[-1]], cuts - cuts[0], length, gram)
+                some = np.flatnonzero(once[d + doc] & (met[np.minimum(np.searchsorted(met, grams), len(met) - 1)] == grams))
+                doc, at, lows, highs = doc[some], at[some], lows[some], highs[some]
+                where = at + cuts[0] - cuts[doc] + starts[doc]
+                held.append([grams[some], of_ids[d + doc], of_tags[d + doc], where.astype(np.uint32), (at - highs).astype(np.uint8), (at - lows).astype(np.uint8), at + cuts[0]])
+            grams, ids, tags, places, least, most, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            at = at.astype(np.int64)
             padded = np.concatenate([np.zeros(sides.reach, np.uint8), data, np.zeros(length, np.uint8)])
-            doc = _find(ids, tags, of_ids, of_tags)
-            at = np.cumsum(lengths)[doc] - lengths[doc] + places
             strings_of = lambda some: padded[at[some, None] + np.arange(sides.reach + length)]
             left = np.ones(len(grams), bool)
             for some in _runs(grams, RUN):
@@ -398,11 +409,12 @@ def repeats(left: np.ndarray, right: np.ndarray, ids, tags, places, least, most,
 
 
 def _compare(length: int, gram: int, buckets: int):
-    """Repeats among contexts of all buckets."""
+    """Repeats among contexts of all buckets; spans found before pass."""
     sides = _Sides(length, gram)
 
     def task(group: pa.Table) -> pa.Table:
-        out: list[pa.RecordBatch] = []
+        bucket = int(group.column("bucket")[0].as_py())
+        out = [row(bucket, SPAN, blob) for blob in _blobs(group, SPAN)]
         for kind in (LEFT, RIGHT):
             before = sides.before[kind]
             keys, ids, tags, places, least, most, strings = unpack_all(_blobs(group, kind), *_FLAG, np.uint8)
@@ -492,13 +504,9 @@ def _bytes_of(docs: DataFrame) -> int:
 
 def _repeated(docs: DataFrame, texts: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """Packed spans of repeated windows by document bucket. docs: doc_id long, text string, tag long; texts: what _send_texts made of them."""
-    sent = stored(map_arrow(docs, _send_anchors(length, gram, buckets), BLOB), "suffix-anchors")
-    met = sent.where(F.col("kind") == LEFT).groupBy("bucket").applyInArrow(_meet(buckets), BLOB)
-    partial = sent.where(F.col("kind") == PARTIAL).unionByName(met)
-    own = stored(texts.unionByName(partial).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), BLOB), "suffix-contexts")
-    discard(sent)
-    compared = own.where(F.col("kind") != SPAN).groupBy("bucket").applyInArrow(_compare(length, gram, buckets), BLOB)
-    return own.where(F.col("kind") == SPAN).unionByName(compared)
+    met = map_arrow(docs, _send_grams(length, gram, buckets), BLOB).groupBy("bucket").applyInArrow(_meet(buckets), BLOB)
+    contexts = texts.unionByName(met).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), BLOB)
+    return contexts.groupBy("bucket").applyInArrow(_compare(length, gram, buckets), BLOB)
 
 
 def _key_columns() -> tuple:
