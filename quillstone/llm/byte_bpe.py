@@ -6,8 +6,8 @@ pair is the encoding of its own bytes, so as soon as the window's first and last
 across its ends are pairs that already stood in a valid encoding, and nothing outside can change. Until then the window
 doubles. Pieces do not act on each other: above them the same tree concatenates. Decoding concatenates bytes up a tree.
 
-Memory: texts are cut into matches lazily and hashed in runs of RUN tokens; known pieces and windows are kept in two
-tables each of at most KNOWN entries, the older of which is dropped when the younger is full. Ranks are read once by
+Memory: texts are cut into matches lazily and hashed in runs of RUN tokens; known pieces, subtrees and windows are kept in
+two tables each of at most KNOWN entries, the older of which is dropped when the younger is full. Ranks are read once by
 each Python worker from the file given.
 
 Defined cases: a null text counts as empty (no tokens, hash of nothing); special tokens are ordinary text; repeated rows
@@ -32,6 +32,8 @@ from quillstone.llm.common import map_arrow, slices, table
 
 #: Windows beyond so many bytes are merged with a heap.
 LONG = 192
+#: Subtrees of up to so many bytes are kept.
+PART = 8
 RUN = 65_536
 KNOWN = 200_000
 
@@ -50,6 +52,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = _Kept(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass")))
         self.windows: dict[tuple[int, ...], tuple[int, ...]] = _Kept(lambda ids: tuple(self.merge(up(list(map(self.bytes_of.__getitem__, ids))))))
+        self.parts: dict[bytes, tuple[int, ...]] = _Kept(self._tree, PART)  # subtrees
         self.joins = 0  # of two parts that both have tokens
 
     # ---- windows
@@ -100,6 +103,9 @@ class Encoder:
         if not left or not right:
             return left + right
         self.joins += 1
+        pair = left[-1], right[0]
+        if self.windows[pair] == pair:  # the smallest window comes out as it was
+            return left + right
         width = 1
         while True:
             a, b = left[-width:], right[:width]
@@ -117,7 +123,8 @@ class Encoder:
         if len(data) < 2:
             return tuple(self.ranks[data[i : i + 1]] for i in range(len(data)))
         half = len(data) // 2
-        return self.join(self._tree(data[:half]), self._tree(data[half:]))
+        below = self.parts.__getitem__ if len(data) <= 2 * PART - 1 else self._tree
+        return self.join(below(data[:half]), below(data[half:]))
 
     # ---- texts
 
@@ -149,15 +156,15 @@ def up(parts: list, none=b""):
 class _Kept(dict):
     """Results by key, in two generations: when the young one is full it becomes the old one, so keys in use stay."""
 
-    def __init__(self, of: Callable):
-        self.of = of
+    def __init__(self, of: Callable, longest: int = 64):
+        self.of, self.longest = of, longest
         self.old: dict = {}
 
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.of(key)
-        if len(key) <= 64:
+        if len(key) <= self.longest:
             if len(self) >= KNOWN:
                 self.old = dict(self)
                 self.clear()

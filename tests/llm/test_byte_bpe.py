@@ -41,7 +41,7 @@ def test_ids_come_from_joins_in_the_tree(library):
     text = "An unremarkable paragraph about quillwork, stonemasonry and gooseberries."
     assert own.encode(text) == library.encode_ordinary(text)
     pieces = [p for p in own.pattern.findall(text) if p.encode() not in own.ranks]
-    assert own.joins == sum(len(p.encode()) - 1 for p in pieces) > 20
+    assert len(pieces) >= 4 and 20 < own.joins <= sum(len(p.encode()) - 1 for p in pieces)  # equal subtrees are joined once
     for p in own.pattern.findall(text):  # the tree alone gives the same as a look-up of the whole piece
         assert own._tree(p.encode()) == tuple(library.encode_ordinary(p))
 
