@@ -37,7 +37,7 @@ from quillstone.llm.graph import components
 from quillstone.llm.hashing import mix, shingles
 from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, row, schema, unpack_all
 
-CHUNK, FLUSH, BUCKET = 1 << 20, 24 << 20, 16 << 20
+CHUNK, FLUSH, BUCKET = 1 << 20, 16 << 20, 8 << 20
 #: Shingle hashes of one task of verification.
 TASK_TOKENS = 1 << 18
 #: Cost of verifying a candidate, in postings read.
@@ -626,7 +626,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, task_tokens: int) ->
     left = stored(together.groupBy("bucket").applyInArrow(_survive(size, bound), BLOB), "join-left")
     discard(sent)
 
-    families = _families(left, bound, max(64, total // (8 * BUCKET)))
+    families = _families(left, bound, max(64, total // (16 * BUCKET)))
     sets = map_arrow(left.where(F.col("kind") == SETS), _set_rows, "key binary, n long, tokens binary")
     sizes = sets.select("key", "n").join(families, F.col("key") == F.col("node")).groupBy("root").agg(F.sum("n").alias("words"), F.count("*").alias("sets"))
     sizes = stored(sizes, "join-families")
