@@ -35,7 +35,9 @@ LONG = 192
 #: Subtrees of up to so many bytes are kept.
 PART = 8
 RUN = 65_536
-KNOWN = 200_000
+KNOWN = 300_000
+#: Neighbours that the lowest level of a concatenation tree puts together.
+FAN = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,7 +53,7 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = _Kept(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        self.windows: dict[tuple[int, ...], tuple[int, ...]] = _Kept(lambda ids: tuple(self.merge(up(list(map(self.bytes_of.__getitem__, ids))))))
+        self.windows: dict[bytes, tuple[int, ...]] = _Kept(lambda data: tuple(self.merge(data)))
         self.parts: dict[bytes, tuple[int, ...]] = _Kept(self._tree, PART)  # subtrees
         self.joins = 0  # of two parts that both have tokens
 
@@ -62,6 +64,8 @@ class Encoder:
         if len(data) > LONG:
             return self._merge_long(data)
         rank, none = self.ranks.get, len(self.ranks) + 1
+        if (whole := rank(data)) is not None:  # every token is the encoding of its own bytes
+            return [whole]
         cuts = list(range(len(data) + 1))  # bounds of the parts
         scores = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
         while scores:
@@ -103,16 +107,16 @@ class Encoder:
         if not left or not right:
             return left + right
         self.joins += 1
-        pair = left[-1], right[0]
-        if self.windows[pair] == pair:  # the smallest window comes out as it was
+        of, width = self.bytes_of, 1
+        window = self.windows[of[left[-1]] + of[right[0]]]
+        if window == (left[-1], right[0]):
             return left + right
-        width = 1
         while True:
-            a, b = left[-width:], right[:width]
-            window = self.windows[a + b]
-            if (len(a) == len(left) or window[0] == a[0]) and (len(b) == len(right) or window[-1] == b[-1]):
-                return left[: len(left) - len(a)] + window + right[len(b) :]
+            outside_left, outside_right = left[:-width], right[width:]
+            if (not outside_left or window[0] == left[-width]) and (not outside_right or window[-1] == right[width - 1]):
+                return outside_left + window + outside_right
             width *= 2
+            window = self.windows[b"".join([of[x] for x in left[-width:] + right[:width]])]
 
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
         """One match of the pattern, by tree reduction; a match that is a token is that token."""
@@ -146,13 +150,20 @@ class Encoder:
 
 
 def up(parts: list, none=b""):
-    """Neighbours concatenated level by level to the root of their tree; none for no parts."""
+    """Neighbours concatenated level by level to the root of their tree, FAN at the lowest level and two above; none for no parts."""
+    if len(parts) > 2:
+        together = b"".join if none == b"" else _flat
+        parts = [together(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
     while len(parts) > 1:
         odd = parts[-1:] if len(parts) % 2 else []
         parts = list(map(add, parts[::2], parts[1::2])) + odd
     return parts[0] if parts else none
 
 
+def _flat(parts: list[tuple[int, ...]]) -> tuple[int, ...]:
+    return tuple(chain.from_iterable(parts))
+
+
 class _Kept(dict):
     """Results by key, in two generations: when the young one is full it becomes the old one, so keys in use stay."""
 
