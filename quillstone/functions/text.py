@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from quillstone.functions import lexicon as X
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate value once and hand it to body as a bound variable; body is evaluated as it stands, outside generated code."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -313,10 +313,16 @@ def graph(text: str, hierarchical: bool = True) -> list[Chunk]:
     return out
 
 
-def semantic_graph(text: str, threshold: float = 0.75, most: int = 512, least: int = 3, entity_weight: float = 1.5, next_weight: float = 0.8) -> list[Chunk]:
+#: Sentences whose similarities to all others are held at a time.
+ROWS = 256
+
+
+def semantic_graph(text: str, threshold: float = 0.75, most: int = 512, least: int = 3, entity_weight: float = 1.5, next_weight: float = 0.8, compat: bool = False) -> list[Chunk]:
     """Sentences and repeated entities linked by similarity, shared entities, containment and order; components are chunks.
 
-    As neighbours are always linked, a document's sentences form one component: its chunk is their first words.
+    As neighbours are always linked, a document's sentences form one component with the entities tied to them. It is cut
+    into chunks of most words; compat keeps the first one only, as has been observed. Similarities are taken ROWS
+    sentences at a time, so memory follows the number of sentences.
     """
     sentences = [s for s in (p.strip() for p in re.split(r"(?<=[.!?])\s+", text)) if len(s) >= 10]
     n = len(sentences)
@@ -325,42 +331,35 @@ def semantic_graph(text: str, threshold: float = 0.75, most: int = 512, least: i
     mentions = Counter(m.group(0).lower() for p in _SENTENCE_ENTITY.values() for m in p.finditer(text))
     entities = sorted(e for e, c in mentions.items() if c >= 2)
     vectors = embed([*sentences, *entities])
-    near = np.triu(vectors[:n] @ vectors[:n].T, 1)
-    apart = np.arange(n)[None] - np.arange(n)[:, None]
-    linked = near > threshold
-    weight = np.where(linked, near / (1 + np.maximum(apart, 0) / 10), 0.0)
     low = [s.lower() for s in sentences]
-    ties: dict[tuple[int, int], float] = {}
-    for e, name in enumerate(entities):
-        own = np.array([i for i, s in enumerate(low) if name in s], np.int64)
-        every = np.ix_(own, own)  # all pairs; below the diagonal nothing is read
-        weight[every] = np.where(linked[every], weight[every] + 0.2, entity_weight)
-        linked[every] = True
-        for i in own.tolist():
-            alike = float(vectors[i] @ vectors[n + e])
-            if alike > 0.5:
-                ties[i, n + e] = alike * entity_weight
-    after = np.arange(n - 1)
-    weight[after, after + 1] = np.maximum(np.where(linked[after, after + 1], weight[after, after + 1], 0.0), next_weight)
-    linked[after, after + 1] = True
-    linked, weight = np.triu(linked, 1), np.triu(weight, 1)
-    # neighbours are always linked, so they and the ties give the components
-    out = []
-    for g in components(n + len(entities), iter([*((i, i + 1) for i in range(n - 1)), *ties])):
-        if len(g) < least:
-            continue
-        members = set(g)
-        own = np.array([i for i in g if i < n], np.int64)
-        joined = np.ix_(own, own)
-        inner = [w for (a, b), w in ties.items() if a in members and b in members]
-        edges = len(inner) + int(linked[joined].sum())
-        words = " ".join(sentences[i] for i in g if i < n).split()
-        if words:
-            mean = (sum(inner) + float(weight[joined][linked[joined]].sum())) / edges if edges else 0.0
-            body = " ".join(words[:most])
-            extra = {"sentences": str(sum(i < n for i in g)), "mean_weight": f"{mean:.4f}", "density": f"{2 * edges / (len(g) * (len(g) - 1)):.4f}"}
-            out.append(Chunk(body, cover=cover_of(body, X.SMART_COVER), confidence=min(mean, 1.0), extra=extra))
-    return out
+    holders = [np.array([i for i, s in enumerate(low) if name in s], np.int64) for name in entities]
+    ties = [float(vectors[i] @ vectors[n + e]) for e, own in enumerate(holders) for i in own.tolist()]
+    tied = sum(any(float(vectors[i] @ vectors[n + e]) > 0.5 for i in own.tolist()) for e, own in enumerate(holders))
+    weights = [t * entity_weight for t in ties if t > 0.5]
+    edges, total = len(weights), sum(weights)
+    for a in range(0, n, ROWS):
+        rows = np.arange(a, min(a + ROWS, n))
+        apart = np.arange(n)[None] - rows[:, None]
+        near = vectors[rows] @ vectors[:n].T
+        linked = near > threshold
+        weight = np.where(linked, near / (1 + np.maximum(apart, 0) / 10), 0.0)
+        for own in holders:
+            every = np.ix_(own[(own >= a) & (own <= rows[-1])] - a, own)
+            weight[every] = np.where(linked[every], weight[every] + 0.2, entity_weight)
+            linked[every] = True
+        here = rows[rows < n - 1]
+        weight[here - a, here + 1] = np.maximum(np.where(linked[here - a, here + 1], weight[here - a, here + 1], 0.0), next_weight)
+        linked[here - a, here + 1] = True
+        linked &= apart > 0
+        edges, total = edges + int(linked.sum()), total + float(weight[linked].sum())
+    size = n + tied
+    words = " ".join(sentences).split()
+    if size < least or not words:
+        return []
+    mean = total / edges if edges else 0.0
+    extra = {"sentences": str(n), "mean_weight": f"{mean:.4f}", "density": f"{2 * edges / (size * (size - 1)):.4f}"}
+    bodies = [" ".join(words[i : i + most]) for i in range(0, most if compat else len(words), most)]
+    return [Chunk(b, cover=cover_of(b, X.SMART_COVER), confidence=min(mean, 1.0), extra=dict(extra)) for b in bodies]
 
 
 def dense_clusters(vectors: np.ndarray, eps: float = 0.3) -> list[list[int]]:

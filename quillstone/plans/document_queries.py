@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import language as L
+from quillstone.functions import lexicon as X
 from quillstone.functions import text as T
 from quillstone.operators import chunking as C
 from quillstone.operators import document_tasks as D
@@ -126,7 +127,7 @@ def repeated_term_ratio(spark, d):
     return _docs(spark, d).select("doc_id", F.round(T.repeated_terms(F.coalesce("text", F.lit(""))), 6).alias("ratio"))
 
 
-_LANG = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in __import__("quillstone.functions.lexicon", fromlist=["x"]).LANGUAGE_WORDS.items()}
+_LANG = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in X.LANGUAGE_WORDS.items()}
 _COUNTS = ", ".join(f"len(list_intersect(w, {v}))::int as {k}" for k, v in _LANG.items())
 _CASES = " ".join(f"when {k} > 0 and {k} >= 1.2 * greatest({', '.join(o for o in _LANG if o != k)}) then '{k}'" for k in reversed(_LANG))
 
