@@ -64,4 +64,5 @@ def test_people_and_places(spark):
     assert (got[6].policy_user, got[6].affected_person, got[6].relationship_to_policyholder, got[6].claimant_count) == ("policyholder (family member)", "wife", "spouse/partner", 4)
     assert got[7].is_abroad and got[7].location == "abroad (unspecified location)"
     assert got[8].policy_user == "undetermined"
-    assert rows.join(P.personas(rows), "i").select(P.persona_text()).first()[0].startswith("IMPORTANT")
+    said = {r[0]: r[1] for r in rows.join(P.personas(rows).drop("question"), "i").select("i", P.persona_text()).collect()}
+    assert said[0].startswith("What the question tells of people") and "Place of the event: airport." in said[0] and "foreign country" in said[7]
