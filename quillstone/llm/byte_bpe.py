@@ -7,7 +7,7 @@ across its ends are pairs that already stood in a valid encoding, and nothing ou
 doubles. Pieces do not act on each other: above them the same tree concatenates. Decoding concatenates bytes up a tree.
 
 Memory: texts are cut into matches lazily and hashed in runs of RUN tokens; known pieces, subtrees and windows are kept in
-two tables each of at most KNOWN entries, the older of which is dropped when the younger is full. Ranks are read once by
+two tables each of at most KNOWN or SUBTREES entries, the older of which is dropped when the younger is full. Ranks are read once by
 each Python worker from the file given.
 
 Defined cases: a null text counts as empty (no tokens, hash of nothing); special tokens are ordinary text; repeated rows
@@ -35,7 +35,9 @@ LONG = 192
 #: Subtrees of up to so many bytes are kept.
 PART = 8
 RUN = 65_536
-KNOWN = 300_000
+KNOWN = 250_000
+#: Subtrees and windows of a table, of which there are two each.
+SUBTREES = 60_000
 #: Neighbours that the lowest level of a concatenation tree puts together.
 FAN = 64
 
@@ -53,8 +55,8 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = _Kept(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        self.windows: dict[bytes, tuple[int, ...]] = _Kept(lambda data: tuple(self.merge(data)))
-        self.parts: dict[bytes, tuple[int, ...]] = _Kept(self._tree, PART)  # subtrees
+        self.windows: dict[bytes, tuple[int, ...]] = _Kept(lambda data: tuple(self.merge(data)), 64, SUBTREES)
+        self.parts: dict[bytes, tuple[int, ...]] = _Kept(self._tree, PART, SUBTREES)  # subtrees
         self.joins = 0  # of two parts that both have tokens
 
     # ---- windows
@@ -167,8 +169,8 @@ def _flat(parts: list[tuple[int, ...]]) -> tuple[int, ...]:
 class _Kept(dict):
     """Results by key, in two generations: when the young one is full it becomes the old one, so keys in use stay."""
 
-    def __init__(self, of: Callable, longest: int = 64):
-        self.of, self.longest = of, longest
+    def __init__(self, of: Callable, longest: int = 64, most: int = KNOWN):
+        self.of, self.longest, self.most = of, longest, most
         self.old: dict = {}
 
     def __missing__(self, key):
@@ -176,7 +178,7 @@ class _Kept(dict):
         if found is None:
             found = self.of(key)
         if len(key) <= self.longest:
-            if len(self) >= KNOWN:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = found
