@@ -127,9 +127,9 @@ def _send_tokens(size: int, bound: Bound, buckets: int):
             order = np.lexsort((n, t))
             t, o, p, n = t[order], o[order], p[order], n[order]
             known = _near(t, n, bound)
-            yield from by_bucket((o[known, 0] % np.uint64(buckets)).astype(np.int32), MATCHED, [o[known, 0], o[known, 1], p[known]])
+            yield from by_bucket((o[known] % np.uint64(buckets)).astype(np.int32), MATCHED, [o[known], p[known]])
             sent = np.flatnonzero(first_of(t, n))
-            arrays = [t[sent], o[sent, 0], o[sent, 1], p[sent], n[sent], known[sent].astype(np.uint8)]
+            arrays = [t[sent], o[sent], p[sent], n[sent], known[sent].astype(np.uint8)]
             yield from by_bucket((t[sent] % np.uint64(buckets)).astype(np.int32), TOKENS, arrays)
 
         for _, data, _, sets, digests in _sets(batches, size):
@@ -138,7 +138,7 @@ def _send_tokens(size: int, bound: Bound, buckets: int):
                 if len(s):
                     k = int(bound.prefix(len(s), int(bound.most(len(s)))))
                     tokens.append(s[:k])
-                    owners.append(np.broadcast_to(digests[i], (k, 2)))
+                    owners.append(np.broadcast_to(digests[i, 0], k))
                     places.append(np.arange(k, dtype=np.uint32))
                     sizes.append(np.full(k, len(s), np.uint32))
             held += len(data)
@@ -153,16 +153,17 @@ def _send_tokens(size: int, bound: Bound, buckets: int):
 
 
 def _meet_tokens(bound: Bound, buckets: int):
-    """Places of prefix tokens that another set has, back to their sets."""
+    """Places of prefix tokens that another set has, back to their sets; what is known already passes."""
 
     def task(group: pa.Table) -> pa.Table:
-        t, a, b, p, n, known = unpack_all(group.column("data").to_pylist(), np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint8)
-        order = np.lexsort((known, b, a, n, t))
-        t, a, b, p, n, known = (x[order] for x in (t, a, b, p, n, known))
-        last = np.append(first_of(t, a, b)[1:], True) if len(t) else np.zeros(0, bool)  # of a set's entries one that is known, if any
-        t, a, b, p, n, known = (x[last] for x in (t, a, b, p, n, known))
+        t, a, p, n, known = unpack_all(_of(group, TOKENS), np.uint64, np.uint64, np.uint32, np.uint32, np.uint8)
+        order = np.lexsort((known, a, n, t))
+        t, a, p, n, known = (x[order] for x in (t, a, p, n, known))
+        last = np.append(first_of(t, a)[1:], True) if len(t) else np.zeros(0, bool)  # of a set's entries one that is known, if any
+        t, a, p, n, known = (x[last] for x in (t, a, p, n, known))
         found = _near(t, n, bound) & (known == 0)
-        return pa.Table.from_batches(list(by_bucket((a[found] % np.uint64(buckets)).astype(np.int32), MATCHED, [a[found], b[found], p[found]])), schema())
+        out = [row(int(group.column("bucket")[0].as_py()), MATCHED, blob) for blob in _of(group, MATCHED)]
+        return pa.Table.from_batches([*out, *by_bucket((a[found] % np.uint64(buckets)).astype(np.int32), MATCHED, [a[found], p[found]])], schema())
 
     return task
 
@@ -218,13 +219,13 @@ def _survive(size: int, bound: Bound):
         blobs = group.column("data")
         of = lambda kind: [blobs[int(k)].as_py() for k in np.flatnonzero(kinds == kind)]
         out = [row(0, DOCS, b) for b in of(DOCS)]
-        a, b, p = unpack_all(of(MATCHED), np.uint64, np.uint64, np.uint32)
-        order = np.lexsort((p, b, a))
-        a, b, p = a[order], b[order], p[order]
-        once = first_of(a, b, p)
-        a, b, p = a[once], b[once], p[once]
-        starts = np.flatnonzero(first_of(a, b))
-        matched = {(x, y): p[i:j] for x, y, i, j in zip(a[starts].tolist(), b[starts].tolist(), starts.tolist(), np.append(starts, len(a))[1:].tolist(), strict=True)}
+        a, p = unpack_all(of(MATCHED), np.uint64, np.uint32)
+        order = np.lexsort((p, a))
+        a, p = a[order], p[order]
+        once = first_of(a, p)
+        a, p = a[once], p[once]
+        starts = np.flatnonzero(first_of(a))
+        matched = {x: p[i:j] for x, i, j in zip(a[starts].tolist(), starts.tolist(), np.append(starts, len(a))[1:].tolist(), strict=True)}
         done: set = set()
         shard = int(group.column("bucket")[0].as_py())
         left: list[tuple] = []
@@ -239,7 +240,7 @@ def _survive(size: int, bound: Bound):
         for blob in of(TEXT):
             da, db, lengths, data = unpack_all([blob], np.uint64, np.uint64, np.int64, np.uint8)
             ends = np.cumsum(lengths)
-            wanted = [k for k, key in enumerate(zip(da.tolist(), db.tolist(), strict=True)) if key in matched and key not in done]
+            wanted = [k for k, key in enumerate(zip(da.tolist(), db.tolist(), strict=True)) if key[0] in matched and key not in done]
             for i in range(0, len(wanted), 256):
                 if len(left) >= 4096:
                     end()
@@ -252,9 +253,10 @@ def _survive(size: int, bound: Bound):
                     n = len(s)
                     sure = int(bound.sure(n))
                     l = np.arange(1, sure + 1)  # noqa: E741
-                    have = np.searchsorted(matched[key], bound.prefix(n, l), side="left")
+                    own = matched[key[0]][: np.searchsorted(matched[key[0]], n)]  # a set that shares half its digest adds places, never takes any
+                    have = np.searchsorted(own, bound.prefix(n, l), side="left")
                     if (have >= np.minimum(l, n)).all():
-                        left.append((*key, s, matched[key]))
+                        left.append((*key, s, own))
             end()
         return pa.Table.from_batches(out, schema())
 
@@ -619,12 +621,9 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, task_tokens: int) ->
     ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, total // BUCKET)
-    sent = stored(map_arrow(docs, _send_tokens(size, bound, buckets), BLOB), "join-tokens")
-    met = sent.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_meet_tokens(bound, buckets), BLOB)
+    met = map_arrow(docs, _send_tokens(size, bound, buckets), BLOB).groupBy("bucket").applyInArrow(_meet_tokens(bound, buckets), BLOB)
     texts = map_arrow(docs, _send_texts(size, buckets), BLOB)
-    together = texts.unionByName(sent.where(F.col("kind") == MATCHED)).unionByName(met)
-    left = stored(together.groupBy("bucket").applyInArrow(_survive(size, bound), BLOB), "join-left")
-    discard(sent)
+    left = stored(texts.unionByName(met).groupBy("bucket").applyInArrow(_survive(size, bound), BLOB), "join-left")
 
     families = _families(left, bound, max(64, total // (16 * BUCKET)))
     sets = map_arrow(left.where(F.col("kind") == SETS), _set_rows, "key binary, n long, tokens binary")
