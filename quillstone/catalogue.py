@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import document_queries, evaluation_queries, question_queries, structure_queries, vector_queries
+from quillstone.plans import answer_queries, document_queries, evaluation_queries, question_queries, structure_queries, vector_queries
 
-GROUPS = (vector_queries, evaluation_queries, document_queries, question_queries, structure_queries)
+GROUPS = (vector_queries, evaluation_queries, document_queries, question_queries, structure_queries, answer_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for g in GROUPS for k, f in g.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for g in GROUPS for k, s in g.SQL.items()}

@@ -25,21 +25,37 @@ def _docs(spark, d):
 _TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')"
 
 
-@query(rf"""
+def packed_words(most: int) -> str:
+    """CTEs up to r(doc_id, chunk_ord, chunk): words packed up to most characters, each counted with a blank."""
+    return rf"""
 with w as (select doc_id, {_TOKENS} as ws from documents),
 c as (select doc_id, list_reduce(list_transform(ws, lambda w: [w]), lambda x, y:
-        case when len(x[len(x)]) + len(y[1]) + 2 <= 512 then list_concat(x[1:len(x) - 1], [x[len(x)] || ' ' || y[1]]) else list_concat(x, y) end) as c from w where len(ws) > 0),
+        case when len(x[len(x)]) + len(y[1]) + 2 <= {most} then list_concat(x[1:len(x) - 1], [x[len(x)] || ' ' || y[1]]) else list_concat(x, y) end) as c from w where len(ws) > 0),
 r as (select doc_id, cast(generate_subscripts(c, 1) - 1 as integer) as chunk_ord, unnest(c) as chunk from c)
-select doc_id, chunk_ord, cast(len(string_split(chunk, ' ')) as bigint) as n_words, md5(chunk) as digest from r
-""")
+"""
+
+
+def overlapped(words: int, separator: str, least: bool) -> str:
+    """CTE o(doc_id, chunk_ord, chunk) of r: with the last words of the chunk before."""
+    use = f"len(string_split(before, ' ')) > {words if least else 0}"
+    return f"""
+, b as (select *, lag(chunk) over (partition by doc_id order by chunk_ord) as before from r),
+o as (select doc_id, chunk_ord, case when before is not null and {use}
+  then array_to_string(list_slice(string_split(before, ' '), greatest(len(string_split(before, ' ')) - {words - 1}, 1), len(string_split(before, ' '))), ' ') || {separator} || chunk else chunk end as chunk from b)
+"""
+
+
+@query(packed_words(512) + "select doc_id, chunk_ord, cast(len(string_split(chunk, ' ')) as bigint) as n_words, md5(chunk) as digest from r")
 def word_chunks(spark, d):
     rows = C.chunked(_docs(spark, d), C.word_chunks(F.col("text")), "simple")
     return rows.select("doc_id", "chunk_ord", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(r"""
-select doc_id, cast(0 as integer) as chunk_ord, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) as digest from documents
-where text is not null and not contains(text, chr(10) || chr(10)) and regexp_matches(text, '\S')
+with p as (select doc_id, list_transform(string_split(text, chr(10) || chr(10)), lambda x: [x || chr(10) || chr(10)]) as ps from documents where text is not null),
+c as (select doc_id, list_reduce(ps, lambda x, y: case when len(x[len(x)]) + len(y[1]) - 2 < 512 then list_concat(x[1:len(x) - 1], [x[len(x)] || y[1]]) else list_concat(x, y) end) as c from p),
+t as (select doc_id, list_filter(list_transform(c, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as c from c)
+select doc_id, cast(generate_subscripts(c, 1) - 1 as integer) as chunk_ord, md5(unnest(c)) as digest from t
 """)
 def paragraph_chunks(spark, d):
     rows = C.chunked(_docs(spark, d), C.paragraph_chunks(F.col("text")), "simple")
@@ -98,7 +114,7 @@ def sentence_stats(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.round(F.avg("n"), 6).alias("mean_words"), F.round(F.var_pop("n"), 6).alias("variance"))
 
 
-@query()
+@query(packed_words(512) + overlapped(5, "' '", False) + "select doc_id, chunk_ord, cast(len(string_split(chunk, ' ')) as integer) as n_words, md5(chunk) as digest from o")
 def overlap_chunks(spark, d):
     rows = C.with_overlap(C.chunked(_docs(spark, d), C.word_chunks(F.col("text")), "simple"), 5)
     return rows.select("doc_id", "chunk_ord", F.size(T.tokens(F.col("text"))).alias("n_words"), F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -183,7 +199,8 @@ def ignored_lines(spark, d):
 
 
 _MENTIONS = r"""
-with p as (select doc_id, k, lower(unnest(regexp_extract_all(text, p))) as entity from documents, (values
+with d as (select doc_id, text || case doc_id % 3 when 0 then ' EUR 500 is paid if the trip is cancelled. EUR 500 at most.' when 1 then ' This is excluded. Damage is not covered when late, when lost or when sold.' else ' CHF 20 in case of rain.' end as text from documents),
+p as (select doc_id, k, lower(unnest(regexp_extract_all(text, p))) as entity from d, (values
   ('monetary_amount', '(?i)(?:€|EUR|CHF|USD)\s*\d+(?:,\d{3})*(?:\.\d{2})?|\d+(?:,\d{3})*(?:\.\d{2})?\s*(?:€|EUR|CHF|USD)'),
   ('condition', '(?i)\b(?:if|when|provided that|subject to|in case of)\b'),
   ('exclusion', '(?i)\b(?:excluded|not covered|exception|limitation)\b')) v(k, p))
@@ -191,9 +208,10 @@ with p as (select doc_id, k, lower(unnest(regexp_extract_all(text, p))) as entit
 
 
 def _mentions(spark, d):
-    from quillstone.functions import lexicon as X
-
-    return N.mentions(_docs(spark, d), {k: X.SENTENCE_ENTITIES[k] for k in ("monetary_amount", "condition", "exclusion")})
+    """Mentions in the documents with a sentence added to each, as their own words hold none."""
+    more = F.when(F.col("doc_id") % 3 == 0, " EUR 500 is paid if the trip is cancelled. EUR 500 at most.").when(F.col("doc_id") % 3 == 1, " This is excluded. Damage is not covered when late, when lost or when sold.").otherwise(" CHF 20 in case of rain.")
+    docs = _docs(spark, d).withColumn("text", F.concat("text", more))
+    return N.mentions(docs, {k: X.SENTENCE_ENTITIES[k] for k in ("monetary_amount", "condition", "exclusion")})
 
 
 @query(_MENTIONS + "select k as kind, entity, count(*) as n, count(distinct doc_id) as n_docs from p group by k, entity")

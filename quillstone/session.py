@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,33 @@ def ship(spark: SparkSession) -> None:
     context._quillstone_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset, one below the warehouse, which all executors share too."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch").rstrip("/")
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/quillstone/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, evaluates df once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by stored() that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it is small: a table that fills fewer scan splits than there are cores is dealt out evenly; a larger one stays as its scan splits it."""
     spark = df.sparkSession
