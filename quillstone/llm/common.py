@@ -1,10 +1,7 @@
-"""Shared plumbing: tables, scratch storage on the cluster's shared folder, and Arrow batch helpers."""
+"""Shared plumbing: tables, words, and Arrow batch helpers; storage on the cluster's shared folder comes from the session module."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.session import ship
+from quillstone.session import discard, scratch_path, ship, stored
+
+__all__ = ["discard", "let", "map_arrow", "offset_type", "scratch_path", "ship", "slices", "stored", "table", "text_bytes", "words_of"]
 
 #: Separators of words: the six ASCII white-space characters.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -32,40 +31,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
-# ---------------------------------------------------------------- shared storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (tests, one machine) a local one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    made = os.path.join(tempfile.gettempdir(), f"quillstone-{spark.sparkContext.applicationId}")
-    os.makedirs(made, exist_ok=True)
-    return f"file://{made}"
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quillstone/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, evaluates df once."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # ---------------------------------------------------------------- Python on executors
 
 

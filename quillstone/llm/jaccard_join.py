@@ -566,10 +566,13 @@ def _families(left: DataFrame, bound: Bound, buckets: int) -> DataFrame:
     said = stored(chosen.unionByName(counted).groupBy("bucket").applyInArrow(_ask(bound, buckets), BLOB), "join-asked")
     answers = stored(said.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_answer(bound), BLOB), "join-answers")
     groups = said.where(F.col("kind") == GROUPS).unionByName(answers.where(F.col("kind") == TOKENS)).groupBy("bucket").applyInArrow(_groups, BLOB)
-    ties = said.unionByName(answers).where(F.col("kind") == EDGES).unionByName(groups)
-    found = components(map_arrow(ties, _edge_rows, _LINKS))
-    discard(said)
-    discard(answers)
+    groups = stored(groups, "join-groups")
+    # written before they are put together: a task that chains Python steps holds a worker for each
+    ties = said.unionByName(answers).unionByName(groups).where(F.col("kind") == EDGES)
+    edges = stored(map_arrow(ties, _edge_rows, _LINKS), "join-ties")
+    found = components(edges)
+    for used in (said, answers, groups, edges):
+        discard(used)
     return found
 
 
