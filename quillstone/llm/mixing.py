@@ -30,18 +30,40 @@ def hash60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with the rank of each source by code point, null last: ranges of sources are numbered by themselves, on from the counts of the ranges before (one number a range is gathered)."""
+    order = (F.col("source").isNull(), F.col("source"))
+    parts = stored(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    counts = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts, at = [], 0
+    for part in sorted(counts):
+        starts.append((part, at))
+        at += counts[part]
+    first = sizes.sparkSession.createDataFrame(starts, "p int, start long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return parts.join(F.broadcast(first), F.col("part") == F.col("p")).select(*sizes.columns, (F.col("start") + own).alias("rank"))
+
+
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target. Water filling: targets in proportion to weights, none above most times its size."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    """source, source_size, target. Water filling: targets in proportion to weights, none above most times its size.
+
+    Each round caps the sources below the level and raises it for the others, until none is below: sums only, no source
+    meets all others.
+    """
     cap = F.lit(most) * F.col("source_size")
-    ranked = sizes.withColumn("rank", F.row_number().over(order)).withColumn("weight", F.array(*map(F.lit, weights))[(F.col("rank") - 1) % len(weights)])
-    filling = Window.orderBy((cap / F.col("weight")), "rank")
-    full = F.coalesce(F.sum(cap).over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_ = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    steps = ranked.withColumn("level", (F.lit(share) * total - full) / open_).withColumn("fits", F.col("level") <= cap / F.col("weight"))
-    level = F.min(F.when(F.col("fits"), F.struct(cap / F.col("weight"), "rank", "level"))).over(Window.partitionBy())["level"]
-    return steps.select("source", "source_size", F.coalesce(F.least(cap, level * F.col("weight")), cap).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    rows = stored(ranked(sizes).withColumn("weight", weight).withColumn("cap", cap), "mix-weights")
+    whole = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    goal, full, left, level = share * (whole["size"] or 0), 0.0, whole["weight"] or 0, None
+    while left:
+        level = (goal - full) / left
+        got = rows.where(F.col("cap") / F.col("weight") < F.lit(level)).agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+        still = (whole["weight"] or 0) - (got["weight"] or 0)
+        if still == left:
+            break
+        full, left = got["cap"] or 0.0, still
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight")) if left else F.col("cap")
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def _with_sources(docs: DataFrame, sources: DataFrame, n: int) -> DataFrame:
