@@ -7,7 +7,8 @@ A token belongs to the sections that it overlaps. One that crosses a boundary is
 A character that several tokens share (a character cut into bytes) belongs in part to each; such a token's span is the
 characters it touches. Tokens that touch no section count as outside, so counts always add up to the document's.
 
-Sections are intervals [start, end) of characters, in order and without overlap: lines by default (with their line feed).
+Sections are intervals [start, end) of characters, lines by default (with their line feed). They may stand in any order
+and overlap: of several that hold as much of a token, or the same first character, the earlier one in the list has it.
 
 Defined cases: a null or empty text has no tokens and no sections; an empty section has count 0; repeated rows are
 counted each; sections that are null count as none; other columns are ignored.
@@ -55,33 +56,27 @@ def spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def allocate(starts: np.ndarray, ends: np.ndarray, lows: np.ndarray, highs: np.ndarray, rule: str) -> tuple[np.ndarray, float]:
-    """Tokens (or parts) of each section [low, high), and how many lie outside: an interval join on sorted bounds."""
-    counts = np.zeros(len(lows))
+    """Tokens (or parts) of each section [low, high), and how many lie outside: an interval join, by the run of tokens that each section touches."""
     full = np.flatnonzero(highs > lows)
-    if not len(full) or not len(starts):
-        return counts, float(len(starts))
-    a, b = lows[full], highs[full]
-    first = np.searchsorted(b, starts, side="right")  # first section that ends after the token starts
-    last = np.searchsorted(a, ends, side="left")  # one past the last that starts before it ends
-    n = np.maximum(last - first, 0)
-    one = n == 1
-    np.add.at(counts, full[first[one]], 1)
-    many = np.flatnonzero(n > 1)
-    if len(many):
-        token = np.repeat(many, n[many])
-        section = np.repeat(first[many] - (np.cumsum(n[many]) - n[many]), n[many]) + np.arange(int(n[many].sum()))
-        shared = np.minimum(ends[token], b[section]) - np.maximum(starts[token], a[section])
+    first = np.searchsorted(ends, lows[full], side="right")  # first token that ends after the section starts
+    n = np.maximum(np.searchsorted(starts, highs[full], side="left") - first, 0)
+    section = np.repeat(full, n)
+    token = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    times = np.bincount(token, minlength=len(starts))
+    several = times[token] > 1
+    counts = np.bincount(section[~several], minlength=len(lows)).astype(float)
+    token, section = token[several], section[several]
+    if len(token):
+        begin = np.maximum(starts[token], lows[section])
+        shared = np.minimum(ends[token], highs[section]) - begin
         if rule == "split":
             total = np.bincount(token, weights=shared, minlength=len(starts))
-            np.add.at(counts, full[section], shared / total[token])
+            np.add.at(counts, section, shared / total[token])
         else:
-            if rule == "most":
-                order = np.lexsort((section, -shared, token))
-            else:
-                order = np.lexsort((section, token))
+            order = np.lexsort((section, -shared if rule == "most" else begin, token))
             chosen = order[np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))]
-            np.add.at(counts, full[section[chosen]], 1)
-    return counts, float((n == 0).sum())
+            np.add.at(counts, section[chosen], 1)
+    return counts, float((times == 0).sum())
 
 
 def _line_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:

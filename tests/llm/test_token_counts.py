@@ -20,7 +20,7 @@ def brute(text, bounds, rule):
         elif rule == "split":
             counts = [x + Fraction(s, sum(share)) for x, s in zip(counts, share)]
         else:
-            k = share.index(max(share)) if rule == "most" else next(i for i, s in enumerate(share) if s)
+            k = share.index(max(share)) if rule == "most" else next(i for c in touched for i, (a, b) in enumerate(bounds) if a <= c < b)
             counts[k] += 1
     return [float(c) for c in counts], outside
 
@@ -34,7 +34,7 @@ def test_allocation_equals_a_plain_loop(rule):
     for text in TEXTS:
         lines = token_counts._line_bounds(text)
         cuts = np.sort(rng.integers(0, len(text) + 1, 8))
-        for lows, highs in (lines, (cuts[::2], cuts[1::2])):
+        for lows, highs in (lines, (cuts[::2], cuts[1::2]), (cuts[::-1][:4], cuts[::-1][:4] + 3), (cuts * 0, cuts), (cuts[4:], cuts[:4] + 9)):
             counts, outside = token_counts.allocate(*token_counts.spans(text, PATH, PATTERN), lows, highs, rule)
             want, left = brute(text, list(zip(lows.tolist(), highs.tolist())), rule)
             assert np.allclose(counts, want) and outside == left
@@ -50,3 +50,11 @@ def test_rows(spark):
     want, outside = brute(TEXTS[0], [(0, 3), (3, 3), (20, 25)], "most")
     assert [r.n_tokens for r in fields if r.doc_id == 1] == [*want, outside]
     assert token_counts.attribute(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_a_very_long_text(spark):
+    text = "word, another 12 é\n" * 60_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = token_counts.attribute(docs, PATH, PATTERN).collect()
+    each = {r.n_tokens for r in got if r.section not in (None, 60_000)}
+    assert len(got) == 60_001 and len(each) == 1 and each.pop() * 60_000 == len(byte_bpe.encoder(PATH, PATTERN).encode(text))
