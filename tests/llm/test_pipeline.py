@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 import corpus_pipeline
 import tiktoken
@@ -29,3 +31,81 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for r in out.collect():
         assert list(r.ids) == library.encode_ordinary(texts[r.doc_id])
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def _stages(spark, docs, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out, kept = docs, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(out)
+    return kept
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Stages 1 to 4 on rows with nulls, repeated rows, repeated ids, ties and a column of their own, against loops."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = prose(40)
+    rows = [(i, prose(60) + (" " + passage if i % 4 == 0 else ""), "en", f"s{i % 3}", None, i) for i in range(24)]
+    rows += [(100 + i, rows[i][1] + " tail", "en", "s1", 7, i) for i in range(6)]  # near copies
+    rows += [rows[3], rows[3], (5, prose(50), "de", None, 1, 0), (None, prose(45), None, "s2", None, None), (200, None, "en", "s0", 0, 1), (201, "", "en", "s0", 0, 1), (202, "one two " * 30, "en", "s0", 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    labels = spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
+    one, two, three, four, last = _stages(spark, docs, labels, tmp_path)
+
+    good = [r for r in rows if not base_failed(r[1])]
+    assert sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, good))
+    left = two.collect()
+    texts = Counter(r.text for r in left)
+    linked = brute_classes(good, 5, 8, 10)
+    for members in linked:
+        ids = [r for r in members if r[0] is not None]
+        kept = sum(texts[t] for t in {r[1] for r in members})
+        assert kept == (1 if ids else len(members))
+    removed = {r.doc_id: r.text for r in three.collect()}
+    seen = set()
+    for r in sorted(left, key=lambda r: (r.doc_id is None, r.doc_id or 0)):
+        data = r.text.encode()
+        gone = [False] * len(data)
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = [True] * 100
+            seen.add(data[k : k + 100])
+        if r.doc_id != 5:  # two texts have that id
+            assert removed[r.doc_id] == bytes(b for b, g in zip(data, gone) if not g).decode()
+    sizes = Counter()
+    for r in three.collect():
+        sizes[r.source] += len(r.text.split())
+    taken = Counter()
+    for r in four.collect():
+        taken[r.source] += len(r.text.split())
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) < 0.3 * sum(sizes.values())
+    assert all(taken[s] <= 2 * sizes[s] for s in sizes)
+    assert last.count() == four.count()
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [x.count() for x in _stages(spark, docs, labels, tmp_path)] == [0] * 5
+
+
+def base_failed(text):
+    words = (text or "").split()
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {i + k for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    return len(words) < 20 or 100 * len(covered) > 30 * len(words)
+
+
+def brute_classes(rows, size, num, den):
+    """Groups of rows whose shingle sets are linked, as lists of rows."""
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (r[1].split() for r in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return [[r for r, g in zip(rows, group) if g == x] for x in set(group)]
