@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     """
     cap = F.lit(most) * F.col("source_size")
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    rows = stored(ranked(sizes).withColumn("weight", weight).withColumn("cap", cap), "mix-weights")
+    rows = ranked(sizes).withColumn("weight", weight).withColumn("cap", cap)
     whole = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     goal, full, left, level = share * (whole["size"] or 0), 0.0, whole["weight"] or 0, None
     while left:
