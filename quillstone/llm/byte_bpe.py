@@ -35,9 +35,9 @@ LONG = 192
 #: Subtrees of up to so many bytes are kept.
 PART = 8
 RUN = 65_536
-KNOWN = 250_000
+KNOWN = 200_000
 #: Subtrees and windows of a table, of which there are two each.
-SUBTREES = 60_000
+SUBTREES = 50_000
 #: Neighbours that the lowest level of a concatenation tree puts together.
 FAN = 64
 
@@ -59,6 +59,12 @@ class Encoder:
         self.parts: dict[bytes, tuple[int, ...]] = _Kept(self._tree, PART, SUBTREES)  # subtrees
         self.joins = 0  # of two parts that both have tokens
 
+    def forget(self) -> None:
+        """Drop what is kept from texts: a worker lives on when its task has ended."""
+        for kept in (self.known, self.windows, self.parts):
+            kept.clear()
+            kept.old = {}
+
     # ---- windows
 
     def merge(self, data: bytes) -> list[int]:
@@ -210,6 +216,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
         for batch in slices(batches, text, 4 << 20):
             lists = pa.array([coder.encode(t.as_py()) for t in batch.column(text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, ids])
+        coder.forget()
 
     return map_arrow(docs, task, f"{others}`{ids}` array<int>")
 
@@ -244,6 +251,7 @@ def encode_and_check(docs: DataFrame, path: str, pattern: str, text: str = "text
                 hashes.append(of_bytes.hexdigest())
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, pa.array(hashes, pa.string())], [*names, "ids", "decoded_sha256"])
+        coder.forget()
 
     return map_arrow(docs, task, f"{others}ids array<int>, decoded_sha256 string")
 
@@ -267,6 +275,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 id_hashes.append(of_ids.hexdigest())
                 byte_hashes.append(of_bytes.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(byte_hashes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     return map_arrow(docs.select("doc_id", "text"), task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.session import discard, scratch_path, ship, stored
 
-__all__ = ["discard", "let", "map_arrow", "offset_type", "scratch_path", "ship", "slices", "stored", "table", "text_bytes", "words_of"]
+__all__ = ["discard", "group_arrow", "let", "map_arrow", "offset_type", "scratch_path", "ship", "slices", "stored", "table", "text_bytes", "trim", "words_of"]
 
 #: Separators of words: the six ASCII white-space characters.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -34,9 +36,33 @@ def words_of(text: Column) -> Column:
 # ---------------------------------------------------------------- Python on executors
 
 
+def trim() -> None:
+    """Give memory that is free in this worker back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(task, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        trim()
+
+    return df.mapInArrow(whole, schema)
+
+
+def group_arrow(df: DataFrame, keys: Sequence[str], task: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """One call of task for each group of rows; memory is given back after each."""
+    ship(df.sparkSession)
+
+    def whole(group: pa.Table) -> pa.Table:
+        out = task(group)
+        trim()
+        return out
+
+    return df.groupBy(*keys).applyInArrow(whole, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import discard, map_arrow, ship, slices, stored, table, text_bytes
+from quillstone.llm.common import discard, group_arrow, map_arrow, ship, slices, stored, table, text_bytes
 from quillstone.llm.graph import components
 from quillstone.llm.hashing import mix, shingles
 from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, row, schema, unpack_all
@@ -562,10 +562,10 @@ _LINKS = "a binary, b binary"
 def _families(left: DataFrame, bound: Bound, buckets: int) -> DataFrame:
     """(node, root): the families of the sets in the shards of left."""
     chosen = left.where(F.col("kind") == SETS)
-    counted = map_arrow(chosen, _send_matched(buckets), BLOB).groupBy("bucket").applyInArrow(_count, BLOB)
-    said = stored(chosen.unionByName(counted).groupBy("bucket").applyInArrow(_ask(bound, buckets), BLOB), "join-asked")
-    answers = stored(said.where(F.col("kind") == TOKENS).groupBy("bucket").applyInArrow(_answer(bound), BLOB), "join-answers")
-    groups = said.where(F.col("kind") == GROUPS).unionByName(answers.where(F.col("kind") == TOKENS)).groupBy("bucket").applyInArrow(_groups, BLOB)
+    counted = group_arrow(map_arrow(chosen, _send_matched(buckets), BLOB), ("bucket",), _count, BLOB)
+    said = stored(group_arrow(chosen.unionByName(counted), ("bucket",), _ask(bound, buckets), BLOB), "join-asked")
+    answers = stored(group_arrow(said.where(F.col("kind") == TOKENS), ("bucket",), _answer(bound), BLOB), "join-answers")
+    groups = group_arrow(said.where(F.col("kind") == GROUPS).unionByName(answers.where(F.col("kind") == TOKENS)), ("bucket",), _groups, BLOB)
     groups = stored(groups, "join-groups")
     # written before they are put together: a task that chains Python steps holds a worker for each
     ties = said.unionByName(answers).unionByName(groups).where(F.col("kind") == EDGES)
@@ -596,7 +596,7 @@ def _large_families(large: DataFrame, bound: Bound, task_tokens: int) -> DataFra
     turn = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64(F.lit(9), "key"), "key"))
     pivots = big.where(share).withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
     pivots = pivots.join(blocks, (F.col("root") == F.col("r")) & (F.col("block") != F.col("to"))).select("root", F.col("to").alias("block"), "key", "tokens")
-    first = stored(big.select("root", "block", "key", "tokens").unionByName(pivots).groupBy("root", "block").applyInArrow(_verify(bound), _LINKS), "join-first")
+    first = stored(group_arrow(big.select("root", "block", "key", "tokens").unionByName(pivots), ("root", "block"), _verify(bound), _LINKS), "join-first")
 
     labels = components(first).withColumnRenamed("root", "label")
     named = big.join(labels, F.col("key") == F.col("node"), "left").select("root", "block", "key", "n", "tokens", F.coalesce("label", "key").alias("known"))
@@ -612,7 +612,7 @@ def _large_families(large: DataFrame, bound: Bound, task_tokens: int) -> DataFra
     guests = guests.join(outside.select("key", "tokens", "known"), F.col("k") == F.col("key")).select("root", "block", "chunk", "key", "tokens", "known", F.lit(True).alias("visits"))
     hosts = named.join(loads, (F.col("root") == F.col("r")) & (F.col("block") == F.col("t")))
     hosts = hosts.select("root", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "key", "tokens", "known", F.lit(False).alias("visits"))
-    second = stored(hosts.unionByName(guests).groupBy("root", "block", "chunk").applyInArrow(_verify(bound), _LINKS), "join-second")
+    second = stored(group_arrow(hosts.unionByName(guests), ("root", "block", "chunk"), _verify(bound), _LINKS), "join-second")
     for used in (big, named):
         discard(used)
     return first.unionByName(second)
@@ -624,9 +624,9 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, task_tokens: int) ->
     ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, total // BUCKET)
-    met = map_arrow(docs, _send_tokens(size, bound, buckets), BLOB).groupBy("bucket").applyInArrow(_meet_tokens(bound, buckets), BLOB)
+    met = group_arrow(map_arrow(docs, _send_tokens(size, bound, buckets), BLOB), ("bucket",), _meet_tokens(bound, buckets), BLOB)
     texts = map_arrow(docs, _send_texts(size, buckets), BLOB)
-    left = stored(texts.unionByName(met).groupBy("bucket").applyInArrow(_survive(size, bound), BLOB), "join-left")
+    left = stored(group_arrow(texts.unionByName(met), ("bucket",), _survive(size, bound), BLOB), "join-left")
 
     families = _families(left, bound, max(64, total // (16 * BUCKET)))
     sets = map_arrow(left.where(F.col("kind") == SETS), _set_rows, "key binary, n long, tokens binary")
@@ -637,7 +637,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, task_tokens: int) ->
     known = families.join(sizes.select(F.col("root").alias("r"), "words", "sets"), F.col("root") == F.col("r")).select("node", "root", "words", "sets")
     placed = sets.join(known, F.col("key") == F.col("node"))
     small = placed.where(F.col("words") <= task_tokens).select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("task"), "key", "tokens")
-    links = stored(small.groupBy("task").applyInArrow(_verify(bound), _LINKS), "join-small")
+    links = stored(group_arrow(small, ("task",), _verify(bound), _LINKS), "join-small")
     if not sizes.where(F.col("words") > task_tokens).isEmpty():
         large = placed.where(F.col("words") > task_tokens).select("root", "words", "sets", "key", "n", "tokens")
         links = links.unionByName(_large_families(large, bound, task_tokens))

@@ -35,13 +35,9 @@ def ranked(sizes: DataFrame) -> DataFrame:
     order = (F.col("source").isNull(), F.col("source"))
     parts = stored(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
     counts = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts, at = [], 0
-    for part in sorted(counts):
-        starts.append((part, at))
-        at += counts[part]
-    first = sizes.sparkSession.createDataFrame(starts, "p int, start long")
+    before = [sum(n for p, n in counts.items() if p < part) for part in range(max(counts, default=0) + 1)]
     own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    return parts.join(F.broadcast(first), F.col("part") == F.col("p")).select(*sizes.columns, (F.col("start") + own).alias("rank"))
+    return parts.select(*sizes.columns, (F.get(F.array(*map(F.lit, before)), F.col("part")) + own).cast("long").alias("rank"))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:

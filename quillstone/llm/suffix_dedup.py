@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import deep_shallow
-from quillstone.llm.common import map_arrow, slices, table, text_bytes
+from quillstone.llm.common import group_arrow, map_arrow, slices, table, text_bytes
 from quillstone.llm.hashing import mix
 from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, place, row, schema, unpack, unpack_all
 
@@ -504,9 +504,9 @@ def _bytes_of(docs: DataFrame) -> int:
 
 def _repeated(docs: DataFrame, texts: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """Packed spans of repeated windows by document bucket. docs: doc_id long, text string, tag long; texts: what _send_texts made of them."""
-    met = map_arrow(docs, _send_grams(length, gram, buckets), BLOB).groupBy("bucket").applyInArrow(_meet(buckets), BLOB)
-    contexts = texts.unionByName(met).groupBy("bucket").applyInArrow(_contexts(length, gram, buckets), BLOB)
-    return contexts.groupBy("bucket").applyInArrow(_compare(length, gram, buckets), BLOB)
+    met = group_arrow(map_arrow(docs, _send_grams(length, gram, buckets), BLOB), ("bucket",), _meet(buckets), BLOB)
+    contexts = group_arrow(texts.unionByName(met), ("bucket",), _contexts(length, gram, buckets), BLOB)
+    return group_arrow(contexts, ("bucket",), _compare(length, gram, buckets), BLOB)
 
 
 def _key_columns() -> tuple:
@@ -519,7 +519,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     buckets = max(64, _bytes_of(docs) // BUCKET)
     texts = map_arrow(docs, _send_texts(buckets), BLOB)
     found = _repeated(docs, texts, length, gram, buckets)
-    return texts.unionByName(found).groupBy("bucket").applyInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return group_arrow(texts.unionByName(found), ("bucket",), _digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -532,7 +532,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     found = _repeated(keyed, map_arrow(keyed, _send_texts(buckets), BLOB), length, gram, buckets)
     texts = map_arrow(full, _send_texts(buckets, ("no_text", *safe)), BLOB)
     kinds = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for c, s in zip(others, safe, strict=True))
-    rows = texts.unionByName(found).groupBy("bucket").applyInArrow(_kept_rows(length, safe), f"{kinds}, kept string" if kinds else "kept string")
+    rows = group_arrow(texts.unionByName(found), ("bucket",), _kept_rows(length, safe), f"{kinds}, kept string" if kinds else "kept string")
     back = dict(zip(others, safe, strict=True))
     return rows.select(*(F.col("kept" if c == "text" else back[c]).alias(c) for c in docs.columns))
 
