@@ -88,6 +88,42 @@ def section_score(title: Column, content: Column, section_id: Column, kind: Colu
     return sum((F.when(F.coalesce(p, F.lit(False)), n).otherwise(0) for p, n in points), F.lit(0)) / 10
 
 
+def chunk_score(title: Column, content: Column, kind: Column, has_id: Column, orphaned: Column, least: int = 150, best: int = 1000) -> Column:
+    """Points of a chunk, 1 at most: a fifth for the title, two for the content, one for its kind, one for wholeness."""
+    there = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    words = F.regexp_count(F.coalesce(content, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    t, c = there(title), there(content)
+    points = (
+        (t, 2), (t & F.length(title).between(10, 100), 1), (t & title.endswith("?"), 1),
+        (c, 2), (c & F.length(content).between(least, best), 2), (c & (words >= 20), 1), (c & has(content, "[.!?]", ""), 1), (c & ~F.contains(content, F.lit("...")) & ~F.contains(content, F.lit("…")), 2),
+        (kind != "general", 2), (kind.isin("coverage", "exclusions", "definitions", "procedures"), 2),
+        (is_complete(content, kind), 2), (has_id, 1), (~orphaned, 1),
+    )
+    return F.least(F.lit(1.0), sum((F.when(F.coalesce(p, F.lit(False)), n).otherwise(0) for p, n in points), F.lit(0)) / 20)
+
+
+def chunk_ease(words: Column, sentences: Column, long_words: Column, punctuated: Column) -> Column:
+    """Ease of reading of a chunk in tenths: steps by words in a sentence, one more with sentence ends, two less if over a tenth of the words are long."""
+    mean = words / sentences
+    step = F.when(mean <= 15, 10).when(mean <= 25, 8).when(mean <= 35, 6).otherwise(4)
+    tenths = step + punctuated.cast("int") - F.when(10 * long_words > words, 2).otherwise(0)
+    return F.when((words == 0) | (sentences == 0), 0.0).otherwise(F.least(F.lit(10), F.greatest(F.lit(0), tenths)) / 10)
+
+
+def document_title(c: Column) -> Column:
+    """The first of the first 15 lines, of 11 to 199 characters, that holds a title word; empty if none does."""
+    lines = F.transform(F.slice(F.split(c, "\n"), 1, 15), lambda x: F.trim(x))
+    good = F.filter(lines, lambda x: F.length(x).between(11, 199) & F.upper(x).rlike("|".join(R.TITLE_WORDS)))
+    return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
+
+
+def converted(c: Column) -> Column:
+    """A converted file's text: without NUL and byte order marks, lines trimmed, no blank lines at its ends."""
+    bare = F.translate(F.coalesce(c, F.lit("")), "\x00\ufeff", "")
+    lines = F.transform(F.split(bare, "\n"), lambda x: F.regexp_replace(x, r"^[\t\f\r ]+|[\t\f\r ]+$", ""))
+    return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+
+
 # ---------------------------------------------------------------- tables
 
 

@@ -73,3 +73,6 @@ CLAUSE_ENDS = (
 
 # Context windows in tokens by part of a model's name, first match.
 MODEL_LIMITS = (("gpt-4", 8192), ("gpt-4-32k", 32768), ("gpt-4o", 128000), ("gpt-3.5", 4096), ("phi-4", 100000), ("qwen", 62768), ("qwen-2.5-72b", 32768))
+
+# Words that make one of a document's first lines its title.
+TITLE_WORDS = ("INSURANCE", "ASSICURAZIONE", "CONTRACT", "CONTRATTO", "POLICY", "POLIZZA", "CONDITIONS", "CONDIZIONI", "TRAVEL", "VIAGGIO", "PROTECTION", "PROTEZIONE")

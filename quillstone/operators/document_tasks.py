@@ -317,12 +317,12 @@ def graph(text: str, hierarchical: bool = True) -> list[Chunk]:
 ROWS = 256
 
 
-def semantic_graph(text: str, threshold: float = 0.75, most: int = 512, least: int = 3, entity_weight: float = 1.5, next_weight: float = 0.8, compat: bool = False) -> list[Chunk]:
+def semantic_graph(text: str, threshold: float = 0.75, most: int = 512, least: int = 3, entity_weight: float = 1.5, next_weight: float = 0.8, hierarchical: bool = False, compat: bool = False) -> list[Chunk]:
     """Sentences and repeated entities linked by similarity, shared entities, containment and order; components are chunks.
 
     As neighbours are always linked, a document's sentences form one component with the entities tied to them. It is cut
-    into chunks of most words; compat keeps the first one only, as has been observed. Similarities are taken ROWS
-    sentences at a time, so memory follows the number of sentences.
+    into chunks of most words; compat keeps the first one only, as has been observed; hierarchical adds a summary for
+    each cluster of like chunks. Similarities are taken ROWS sentences at a time, so memory follows their number.
     """
     sentences = [s for s in (p.strip() for p in re.split(r"(?<=[.!?])\s+", text)) if len(s) >= 10]
     n = len(sentences)
@@ -359,17 +359,32 @@ def semantic_graph(text: str, threshold: float = 0.75, most: int = 512, least: i
     mean = total / edges if edges else 0.0
     extra = {"sentences": str(n), "mean_weight": f"{mean:.4f}", "density": f"{2 * edges / (size * (size - 1)):.4f}"}
     bodies = [" ".join(words[i : i + most]) for i in range(0, most if compat else len(words), most)]
-    return [Chunk(b, cover=cover_of(b, X.SMART_COVER), confidence=min(mean, 1.0), extra=dict(extra)) for b in bodies]
+    out = [Chunk(b, cover=cover_of(b, X.SMART_COVER), confidence=min(mean, 1.0), extra=dict(extra)) for b in bodies]
+    return out + cluster_summaries(out) if hierarchical else out
 
 
 def dense_clusters(vectors: np.ndarray, eps: float = 0.3) -> list[list[int]]:
-    """Clusters of density search with two points as its least: components of pairs within eps; single points are noise."""
-    if len(vectors) < 2:
-        return []
+    """Clusters of density search with two points as its least: components of pairs within eps; single points are noise. Distances are taken ROWS points at a time."""
     square = (vectors**2).sum(1)
-    apart = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * vectors @ vectors.T, 0))
-    pairs = zip(*np.nonzero(np.triu(apart <= eps, 1)), strict=True)
-    return [g for g in components(len(vectors), ((int(a), int(b)) for a, b in pairs)) if len(g) > 1]
+
+    def near() -> Iterator[tuple[int, int]]:
+        for a in range(0, len(vectors), ROWS):
+            apart = np.sqrt(np.maximum(square[a : a + ROWS, None] + square[None] - 2 * vectors[a : a + ROWS] @ vectors.T, 0))
+            for i, j in zip(*np.nonzero(apart <= eps), strict=True):
+                yield a + int(i), int(j)
+
+    return [g for g in components(len(vectors), near()) if len(g) > 1]
+
+
+def cluster_summaries(chunks: list[Chunk], eps: float = 0.3) -> list[Chunk]:
+    """For each cluster of chunks of like meaning one more, of their first sentences; chunks that are like no other have none."""
+    if len(chunks) < 2:
+        return []
+    out = []
+    for g in dense_clusters(embed([c.text for c in chunks]), eps):
+        firsts = [(split_sentences(chunks[i].text) or [chunks[i].text])[0] for i in g]
+        out.append(Chunk(" ".join(firsts), cover="summary", confidence=min(chunks[i].confidence for i in g), extra={"chunks": ", ".join(map(str, g))}))
+    return out
 
 
 # ---------------------------------------------------------------- hybrid

@@ -15,7 +15,7 @@ PARAMETERS = {
     "smart_size": {"base_chunk_words": "base", "min_chunk_words": "least", "max_chunk_words": "most", "importance_multiplier": "factor", "overlap_words": "overlap"},
     "semantic": {"breakpoint_threshold_value": "percent", "min_chunk_sentences": "least", "max_chunk_sentences": "most"},
     "graph": {"enable_hierarchical": "hierarchical"},
-    "semantic_graph": {"max_chunk_size": "most", "similarity_threshold": "threshold", "min_community_size": "least", "entity_weight": "entity_weight", "sequential_weight": "next_weight"},
+    "semantic_graph": {"max_chunk_size": "most", "similarity_threshold": "threshold", "min_community_size": "least", "entity_weight": "entity_weight", "sequential_weight": "next_weight", "enable_hierarchical": "hierarchical"},
     "hybrid": {"max_chunk_words": "most", "overlap_words": "overlap", "semantic_threshold": "threshold"},
 }
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from quillstone.functions import models as M
 from quillstone.functions import structure as S
 from quillstone.functions import structure_rules as R
+from quillstone.operators import lines as L
 from quillstone.plans.registry import group
 from quillstone.session import spread
 from quillstone.sources import pages as P
+from quillstone.sources import tables as T
 from quillstone.sources.tables import table
 
 QUERIES, SQL, query = group()
@@ -166,3 +168,109 @@ def section_previews(spark, d):
     text = F.col("text")
     whole = F.concat(F.lit("front matter\n1. First part\n"), text, F.lit("\nGENERAL TERMS\n"), F.substring(text, 2, 90), F.lit("\n1. First part \n"), F.substring(text, 5, 30))
     return P.section_contents(_docs(spark, d).withColumn("text", whole)).select("doc_id", "header", F.substring("content", 1, 60).alias("preview"))
+
+
+_WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+_COMPLETE = f"""(not (ends_with(text, '...') or ends_with(text, '…')) and (regexp_matches(text, '[.!?][\\t\\n\\f\\r ]*$') or regexp_matches(text, '(?m){_P["LIST_ITEM"]}'))
+    and case kind when 'definitions' then regexp_matches(text, '(?i){_P["DEFINES"]}') when 'procedures' then regexp_matches(text, '(?i){_P["PROCEDURE_OR_HOW"]}') else true end)"""
+
+
+@query(rf"""
+with d as (select doc_id, text, source as title, {_KIND} as kind, {_WORDS} as words, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) as sentences,
+  len(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: len(w) > 12)) as long_words, trim(coalesce(text, '')) <> '' as c, trim(coalesce(source, '')) <> '' as t from documents)
+select doc_id, least(1.0::double, (t::int * 2 + coalesce(t and len(title) between 10 and 100, false)::int + coalesce(t and ends_with(title, '?'), false)::int
+    + c::int * 2 + (c and len(text) between 150 and 1000)::int * 2 + (c and words >= 20)::int + (c and regexp_matches(text, '[.!?]'))::int + (c and not contains(text, '...') and not contains(text, '…'))::int * 2
+    + (kind <> 'general')::int * 2 + (kind in ('definitions', 'procedures'))::int * 2 + {_COMPLETE}::int * 2 + (doc_id % 2 = 0)::int + (doc_id % 7 <> 0)::int) / 20.0::double) as score,
+  case when words = 0 then 0.0::double else least(10, greatest(0, case when words / sentences <= 15 then 10 when words / sentences <= 25 then 8 when words / sentences <= 35 then 6 else 4 end
+    + regexp_matches(text, '[.!?]')::int - case when 10 * long_words > words then 2 else 0 end)) / 10.0::double end as ease
+from d where text is not null
+""")
+def chunk_scores(spark, d):
+    text = F.col("text")
+    word = F.lit(r"[^\x20\x09-\x0D]+")
+    words, sentences = F.regexp_count(text, word), F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
+    long_words = F.size(F.filter(F.regexp_extract_all(text, word, F.lit(0)), lambda w: F.length(w) > 12))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text", "source").where("text is not null"))
+    i = F.col("doc_id")
+    return rows.select("doc_id", S.chunk_score(F.col("source"), text, _kind(), i % 2 == 0, i % 7 == 0).alias("score"), S.chunk_ease(words, sentences, long_words, text.rlike("[.!?]")).alias("ease"))
+
+
+@query(f"""
+with t as (select doc_id, 'n. ' || doc_id::varchar || chr(10) || case doc_id % 3 when 0 then 'Travel policy of ' || coalesce(source, '') || chr(10) when 1 then 'Policy' || chr(10) else '' end || coalesce(text, '') as text from documents),
+l as (select doc_id, generate_subscripts(x, 1) as i, trim(unnest(x)) as line from (select doc_id, string_split(text, chr(10))[1:15] as x from t))
+select t.doc_id, coalesce(arg_min(line, i) filter (len(line) between 11 and 199 and regexp_matches(upper(line), '{"|".join(R.TITLE_WORDS)}')), '') as title from t left join l on t.doc_id = l.doc_id group by t.doc_id
+""")
+def document_titles(spark, d):
+    lead = F.concat(F.lit("n. "), F.col("doc_id").cast("string"), F.lit("\n"))
+    named = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Travel policy of "), F.coalesce("source", F.lit("")), F.lit("\n"))).when(F.col("doc_id") % 3 == 1, "Policy\n").otherwise("")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(lead, named, F.coalesce("text", F.lit(""))).alias("text"))
+    return rows.select("doc_id", S.document_title(F.col("text")).alias("title"))
+
+
+@query(r"""
+with t as (select doc_id, chr(65279) || chr(10) || ' ' || chr(10) || chr(9) || coalesce(text, '') || ' ' || chr(10) || chr(10) as text from documents),
+b as (select doc_id, array_to_string(list_transform(string_split(replace(text, chr(65279), ''), chr(10)), lambda x: regexp_replace(x, '^[\t\f\r ]+|[\t\f\r ]+$', '', 'g')), chr(10)) as text from t)
+select doc_id, md5(regexp_replace(text, '^\n+|\n+$', '', 'g')) as digest from b
+""")
+def converted_text(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("﻿\n \n\t"), F.coalesce("text", F.lit("")), F.lit(" \n\n")).alias("text"))
+    return rows.select("doc_id", F.md5(S.converted(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(r"""
+with p as (select doc_id, 'dir.x/' || case doc_id % 4 when 0 then '12-' || doc_id::varchar || '_policy.pdf' when 1 then doc_id::varchar || '_a_b.TXT' when 2 then 'policy_' || doc_id::varchar || '.pdf' else doc_id::varchar || '.doc' end as path from documents),
+s as (select doc_id, path, regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') as stem from p)
+select doc_id, coalesce(nullif(regexp_extract(stem, '^([\d-]+)_', 1), ''), stem) as policy_id, coalesce(nullif(regexp_extract(stem, '^(\d+)_', 1), ''), stem) as index_policy_id,
+  case when ends_with(lower(path), '.pdf') then 'pdf' when ends_with(lower(path), '.txt') then 'txt' else 'unknown' end as file_type from s
+""")
+def policy_paths(spark, d):
+    i, n = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    name = F.when(n == 0, F.concat(F.lit("12-"), i, F.lit("_policy.pdf"))).when(n == 1, F.concat(i, F.lit("_a_b.TXT"))).when(n == 2, F.concat(F.lit("policy_"), i, F.lit(".pdf"))).otherwise(F.concat(i, F.lit(".doc")))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("dir.x/"), name).alias("path"))
+    path = F.col("path")
+    return rows.select("doc_id", T.policy_id(path).alias("policy_id"), T.index_policy_id(path).alias("index_policy_id"), T.file_type(path).alias("file_type"))
+
+
+@query(r"""
+with l as (select user_id as doc, event_id as i, case when event_id % 3 = 0 then '--- Page ' || (event_id % 50)::varchar || ' ---' else 'line ' || event_id::varchar end as line from events),
+n as (select *, try_cast(nullif(regexp_extract(line, '^-{3} Page ([0-9]+) -{3}$', 1), '') as int) as page from l)
+select doc, i, coalesce(last_value(page ignore nulls) over (partition by doc order by i rows between unbounded preceding and current row), 1) as page from n
+""")
+def page_numbers(spark, d):
+    n = F.col("event_id")
+    line = F.when(n % 3 == 0, F.concat(F.lit("--- Page "), (n % 50).cast("string"), F.lit(" ---"))).otherwise(F.concat(F.lit("line "), n.cast("string")))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc"), n.alias("i"), line.alias("line"))
+    return L.carried_pages(rows, ["doc"], "i", F.col("line")).select("doc", "i", "page")
+
+
+@query(r"""
+with h as (select user_id as doc, event_id as i, (event_id * 7 % 11 % 4 + 1)::int as level, 'T' || event_id::varchar as title from events),
+p as (select a.doc, a.i, a.level, b.level as l, max(b.i) as at from h a join h b on a.doc = b.doc and b.i <= a.i and b.level <= a.level group by all),
+c as (select p.*, (select coalesce(max(x.i), -1) from h x where x.doc = p.doc and x.i <= p.i and x.level < p.l) as cut from p)
+select c.doc, c.i, string_agg(h.title, ' > ' order by c.l) as path from c join h on h.doc = c.doc and h.i = c.at where c.at > c.cut group by c.doc, c.i
+""")
+def heading_paths(spark, d):
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc"), n.alias("i"), (n * 7 % 11 % 4 + 1).cast("int").alias("level"), F.concat(F.lit("T"), n.cast("string")).alias("title"))
+    return L.heading_paths(rows, ["doc"], "i", "level", "title").select("doc", "i", "path")
+
+
+@query("""
+with s as (select l_orderkey as doc, l_partkey % 2000 as "start", l_partkey % 2000 + l_quantity::bigint * 3 as "end" from lineitem),
+o as (select *, max("end") over (partition by doc order by "start", "end" rows between unbounded preceding and 1 preceding) as reach from s),
+n as (select *, sum(case when reach is null or "start" - reach >= 100 then 1 else 0 end) over (partition by doc order by "start", "end" rows unbounded preceding) as n from o)
+select doc, min("start") as "start", max("end") as "end" from n group by doc, n
+""")
+def merged_spans(spark, d):
+    start = F.col("l_partkey") % 2000
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 3).alias("end"))
+    return L.merged_spans(rows, ["doc"]).select("doc", "start", "end")
+
+
+@query("""
+with r as (select event_type, user_id, event_id, row_number() over (partition by event_type, user_id order by event_id) as r from events)
+select event_type, user_id, count(*) as n, string_agg(event_id::varchar, ',' order by r) filter (r <= 3) as contexts from r group by all having count(*) >= 2
+""")
+def first_contexts(spark, d):
+    rows = table(spark, d, "events").select("event_type", "user_id", "event_id", F.col("event_id").cast("string").alias("context"))
+    return L.first_contexts(rows, ["event_type", "user_id"], "event_id", "context").withColumn("contexts", F.array_join("contexts", ","))

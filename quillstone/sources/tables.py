@@ -30,6 +30,12 @@ def policy_id(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(name, r"^([\d-]+)_", 1), F.lit("")), name)
 
 
+def index_policy_id(path: Column) -> Column:
+    """As policy_id, but of digits only: the index knows no hyphens in ids."""
+    name = stem(path)
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(\d+)_", 1), F.lit("")), name)
+
+
 def file_type(path: Column) -> Column:
     low = F.lower(path)
     return F.when(low.endswith(".pdf"), "pdf").when(low.endswith(".txt"), "txt").otherwise("unknown")

@@ -21,5 +21,8 @@ def test_sentence_graph_goes_through_the_whole_text(monkeypatch):
     whole = document_tasks.semantic_graph(text)
     assert " ".join(c.text for c in whole) == text and len(whole) > 3
     assert [c.text for c in document_tasks.semantic_graph(text, compat=True)] == [whole[0].text]
+    more = document_tasks.semantic_graph(text, hierarchical=True)
+    assert [c.text for c in more[: len(whole)]] == [c.text for c in whole] and more[-1].cover == "summary"
     monkeypatch.setattr(document_tasks, "ROWS", 7)
+    assert [c.extra for c in document_tasks.semantic_graph(text, hierarchical=True)] == [c.extra for c in more]
     assert [c.extra for c in document_tasks.semantic_graph(text)] == [c.extra for c in whole]
