@@ -1,23 +1,39 @@
-"""A deterministic embedder: hashed words and word pairs with signs, at length 1 (feature hashing). Any function of a list of texts to a matrix can stand in its place."""
+"""A deterministic embedder: hashed words and word pairs with signs, at length 1 (feature hashing). Any function of a list of texts to a matrix can stand in its place.
+
+Places and signs come from MD5, so that SQL engines can compute the same vectors.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 
 import numpy as np
 
 WIDTH = 128
 _WORD = re.compile(r"\w+")
+_PLACES: dict[str, tuple[int, float]] = {}
+_MOST = 200_000
+
+
+def _place(feature: str) -> tuple[int, float]:
+    found = _PLACES.get(feature)
+    if found is None:
+        h = int(hashlib.md5(feature.encode()).hexdigest()[:8], 16)
+        found = h % 65536, 1.0 if h & 0x80000000 else -1.0
+        if len(_PLACES) >= _MOST:
+            _PLACES.clear()
+        _PLACES[feature] = found
+    return found
 
 
 def embed(texts: list[str], width: int = WIDTH) -> np.ndarray:
-    """One row for each text; a text without words is a zero row."""
+    """One row for each text; a text without words is a zero row. width divides 65,536."""
     out = np.zeros((len(texts), width))
     for row, text in zip(out, texts, strict=True):
         words = _WORD.findall(text.lower())
         for feature in (*words, *map(" ".join, zip(words, words[1:]))):
-            h = zlib.crc32(feature.encode())
-            row[h % width] += 1.0 if h & 0x80000000 else -1.0
+            at, sign = _place(feature)
+            row[at % width] += sign
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norms, 1e-10)
