@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import evaluate as E
 from quillstone.plans.registry import group
+from quillstone.session import numbered
 from quillstone.sources import sinks, tables
 from quillstone.sources.tables import table
 
@@ -85,7 +85,7 @@ select id, row_number() over (order by try_cast(case when regexp_full_match(id,
 def numeric_aware_sort_rank(spark, d):
     e = table(spark, d, "events")
     ids = e.select(F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise(F.col("user_id").cast("string")).alias("id")).distinct()
-    return ids.withColumn("rank", F.row_number().over(Window.orderBy(*E.numeric_order(F.col("id")))).cast("long"))
+    return numbered(ids, E.numeric_order(F.col("id")), "rank")
 
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"

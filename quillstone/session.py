@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,6 +56,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with the number of each row, from 1, in an order over all rows: ranges of it are numbered by themselves, on from the counts of the ranges before. One number a range is gathered; no task sees all rows."""
+    parts = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    counts = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    before = [sum(n for p, n in counts.items() if p < part) for part in range(max(counts, default=0) + 1)]
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn(out, (F.get(F.array(*map(F.lit, before)), F.col("__part")) + own).cast("long")).drop("__part")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it is small: a table that fills fewer scan splits than there are cores is dealt out evenly; a larger one stays as its scan splits it."""
     spark = df.sparkSession
