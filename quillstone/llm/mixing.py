@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import stored, table, words_of
+from quillstone.session import numbered
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -30,16 +31,6 @@ def hash60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def ranked(sizes: DataFrame) -> DataFrame:
-    """sizes with the rank of each source by code point, null last: ranges of sources are numbered by themselves, on from the counts of the ranges before (one number a range is gathered)."""
-    order = (F.col("source").isNull(), F.col("source"))
-    parts = stored(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
-    counts = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before = [sum(n for p, n in counts.items() if p < part) for part in range(max(counts, default=0) + 1)]
-    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    return parts.select(*sizes.columns, (F.get(F.array(*map(F.lit, before)), F.col("part")) + own).cast("long").alias("rank"))
-
-
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, target. Water filling: targets in proportion to weights, none above most times its size.
 
@@ -48,7 +39,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     """
     cap = F.lit(most) * F.col("source_size")
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    rows = ranked(sizes).withColumn("weight", weight).withColumn("cap", cap)
+    rows = numbered(sizes, [F.col("source").asc_nulls_last()], "rank").withColumn("weight", weight).withColumn("cap", cap)
     whole = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     goal, full, left, level = share * (whole["size"] or 0), 0.0, whole["weight"] or 0, None
     while left:
