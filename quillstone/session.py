@@ -11,9 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch, where the session has no value of its own (then 64 MB, which both sides of a worker hold).
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once a session, so that they need no installation of it."""
+    """Send this package to the Python workers once a session, so that they need no installation of it; batches to them are bounded by bytes."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     if getattr(context, "_quillstone_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
