@@ -44,6 +44,8 @@ TASK_TOKENS = 1 << 18
 VERIFY = 400
 #: Sets of a large family that all its blocks meet.
 PIVOTS = 16
+#: Names of rows (16 bytes each) that are broadcast at most.
+SENT_ROWS = 1_000_000
 TOKENS, MATCHED, TEXT, DOCS, SETS, GROUPS, EDGES = range(7)
 
 
@@ -677,8 +679,10 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, tas
     stays = (F.col("__row") == F.col("first.__row")) & (F.col("__tag") == F.col("first.__tag"))
     decided = stored(found.join(first, "component").select("__row", "__tag", stays.alias("stays"), "n").where("not stays or n > 1"), "join-gone")
     discard(found)
-    kept = docs.join(decided.where("not stays").select("__row", "__tag"), ["__row", "__tag"], "left_anti")
-    again = decided.where("stays").select("__row", "__tag")
+    # names of rows that go are sent to the texts up to a number that is checked; beyond it both are shuffled
+    near = F.broadcast if decided.count() <= SENT_ROWS else lambda df: df
+    kept = docs.join(near(decided.where("not stays").select("__row", "__tag")), ["__row", "__tag"], "left_anti")
+    again = near(decided.where("stays").select("__row", "__tag"))
     if not again.isEmpty():
         single = kept.join(again, ["__row", "__tag"], "left_semi").dropDuplicates(["__row", "__tag"])
         kept = kept.join(again, ["__row", "__tag"], "left_anti").unionByName(single)
