@@ -35,9 +35,9 @@ LONG = 192
 #: Subtrees of up to so many bytes are kept.
 PART = 8
 RUN = 65_536
-KNOWN = 200_000
+KNOWN = 250_000
 #: Subtrees and windows of a table, of which there are two each.
-SUBTREES = 50_000
+SUBTREES = 60_000
 #: Neighbours that the lowest level of a concatenation tree puts together.
 FAN = 64
 
