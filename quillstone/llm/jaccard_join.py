@@ -1,8 +1,10 @@
 """Self-join of documents by Jaccard similarity of word shingles, with adaptive multi-match prefixes.
 
-Each document is the set of hashes of its shingles; hash order is the global order. Two sets of similarity t or more
-share at least l tokens of their l-prefixes, the first n - ceil(t n) + l tokens, for every l up to a limit that grows
-with n. Equal sets are one class throughout.
+Each document is the set of hashes of its shingles. The global order is by classes of expected frequency, rare ones
+first, and by hash within a class; a bounded sample of the texts says what is frequent. Any order gives the same result,
+but by hash alone, prefixes of short sets hold phrases that ever more other sets have, and unrelated sets become one family.
+Two sets of similarity t or more share at least l tokens of their l-prefixes, the first n - ceil(t n) + l tokens, for
+every l up to a limit that grows with n. Equal sets are one class throughout.
 
 1. Longest prefixes meet by token. A token of a set counts if another set whose size allows a link has it too. A set
    that for some l has fewer than l such tokens in its l-prefix has no partner and leaves. What is left stays in shards.
@@ -34,10 +36,13 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import discard, group_arrow, map_arrow, ship, slices, stored, table, text_bytes
 from quillstone.llm.graph import components
-from quillstone.llm.hashing import mix, shingles
-from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, row, schema, unpack_all
+from quillstone.llm.hashing import Rarity, mix, shingles
+from quillstone.llm.hashing import words as word_hashes
+from quillstone.llm.packing import BLOB, by_bucket, first_of, pack, row, schema, unpack, unpack_all
 
 CHUNK, FLUSH, BUCKET = 1 << 20, 16 << 20, 8 << 20
+#: Bytes of text, chosen at random, that the order of tokens is learned from, and the words and shingles kept of them.
+SAMPLE, FREQUENT = 16 << 20, 1 << 16
 #: Shingle hashes of one task of verification.
 TASK_TOKENS = 1 << 18
 #: Cost of verifying a candidate, in postings read.
@@ -91,10 +96,10 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([mix(out[:, 0]), mix(out[:, 1])], 1)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int):
+def _sets(batches: Iterator[pa.RecordBatch], size: int, rarity: Rarity | None = None):
     for batch in slices(batches, "text", CHUNK):
         data, bounds = text_bytes(batch.column("text"))
-        sets = shingles(data, bounds, size)
+        sets = shingles(data, bounds, size, rarity)
         yield batch, data, bounds, sets, _digests(sets)
 
 
@@ -107,6 +112,39 @@ def _new(digests: np.ndarray, seen: set) -> list[int]:
     return out
 
 
+def _frequent(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent values that come twice or more, and their counts."""
+    x, count = np.unique(np.concatenate(values), return_counts=True)
+    some = np.flatnonzero(count > 1)
+    some = some[np.argsort(-count[some], kind="stable")[:FREQUENT]]
+    return x[some], count[some]
+
+
+def _learn(size: int):
+    """Frequent words and shingles of a sample in one task, equal texts once: one row."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_, chains, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], set()
+        for _, data, bounds, sets, digests in _sets(batches, size):
+            new = _new(digests, seen)
+            hashes, doc = word_hashes(data, bounds)
+            all_.append(hashes[np.isin(doc, new)])
+            chains += [sets[i] for i in new]
+        yield row(0, 0, pack(*_frequent(all_), *_frequent(chains), np.array([sum(map(len, all_))], np.int64)))
+
+    return task
+
+
+def rarity_of(docs: DataFrame, size: int, total: int) -> Rarity:
+    """The classes by which tokens are ordered, from about SAMPLE bytes of docs (text), which hold total bytes."""
+    share = min(1.0, SAMPLE / max(total, 1))
+    sample = docs.select("text").sample(share, 17) if share < 1 else docs.select("text")
+    found = map_arrow(sample.repartition(1), _learn(size), BLOB).collect()
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    *frequent, n = unpack(found[0]["data"], *(np.uint64, np.int64) * 2, np.int64) if found else (*none, *none, np.zeros(1, np.int64))
+    return Rarity(*frequent, int(n[0]), int(n[0]) / share)
+
+
 def _near(t: np.ndarray, n: np.ndarray, bound: Bound) -> np.ndarray:
     """Entries, sorted by token and size, beside one of the same token whose size allows a link (the nearest size does if any does)."""
     out = np.zeros(len(t), bool)
@@ -117,7 +155,7 @@ def _near(t: np.ndarray, n: np.ndarray, bound: Bound) -> np.ndarray:
     return out
 
 
-def _send_tokens(size: int, bound: Bound, buckets: int):
+def _send_tokens(size: int, bound: Bound, buckets: int, rarity: Rarity):
     """Longest prefixes by token. Tokens that match within a flush go to their sets at once; one entry for each token and size meets those of other tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +172,7 @@ def _send_tokens(size: int, bound: Bound, buckets: int):
             arrays = [t[sent], o[sent], p[sent], n[sent], known[sent].astype(np.uint8)]
             yield from by_bucket((t[sent] % np.uint64(buckets)).astype(np.int32), TOKENS, arrays)
 
-        for _, data, _, sets, digests in _sets(batches, size):
+        for _, data, _, sets, digests in _sets(batches, size, rarity):
             for i in _new(digests, seen):
                 s = sets[i]
                 if len(s):
@@ -170,7 +208,7 @@ def _meet_tokens(bound: Bound, buckets: int):
     return task
 
 
-def _send_texts(size: int, buckets: int):
+def _send_texts(size: int, buckets: int, rarity: Rarity):
     """Each set's text once a flush, by digest; and the rows (doc_id, tag, size, digest), which stay in buckets of their flush."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +231,7 @@ def _send_texts(size: int, buckets: int):
                     data = np.concatenate([texts[k] for k in some])
                     yield row(int(target[some[0]]), TEXT, pack(o[some, 0], o[some, 1], np.array([len(texts[k]) for k in some], np.int64), data))
 
-        for batch, data, bounds, sets, digests in _sets(batches, size):
+        for batch, data, bounds, sets, digests in _sets(batches, size, rarity):
             ids.append(batch.column("doc_id"))
             tags.append(batch.column("tag").to_numpy(zero_copy_only=False))
             sizes.append(np.array([len(s) for s in sets], np.int64))
@@ -213,7 +251,7 @@ def _send_texts(size: int, buckets: int):
     return task
 
 
-def _survive(size: int, bound: Bound):
+def _survive(size: int, bound: Bound, rarity: Rarity):
     """Sets that may have partners with the places of their matched tokens, packed by shard; rows of documents pass."""
 
     def task(group: pa.Table) -> pa.Table:
@@ -248,7 +286,7 @@ def _survive(size: int, bound: Bound):
                     end()
                 some = wanted[i : i + 256]
                 part = np.concatenate([data[ends[k] - lengths[k] : ends[k]] for k in some])
-                sets = shingles(part, np.concatenate([[0], np.cumsum(lengths[some])]), size)
+                sets = shingles(part, np.concatenate([[0], np.cumsum(lengths[some])]), size, rarity)
                 for k, s in zip(some, sets, strict=True):
                     key = int(da[k]), int(db[k])
                     done.add(key)
@@ -626,9 +664,10 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, task_tokens: int) ->
     ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, total // BUCKET)
-    met = group_arrow(map_arrow(docs, _send_tokens(size, bound, buckets), BLOB), ("bucket",), _meet_tokens(bound, buckets), BLOB)
-    texts = map_arrow(docs, _send_texts(size, buckets), BLOB)
-    left = stored(group_arrow(texts.unionByName(met), ("bucket",), _survive(size, bound), BLOB), "join-left")
+    rarity = rarity_of(docs, size, total)
+    met = group_arrow(map_arrow(docs, _send_tokens(size, bound, buckets, rarity), BLOB), ("bucket",), _meet_tokens(bound, buckets), BLOB)
+    texts = map_arrow(docs, _send_texts(size, buckets, rarity), BLOB)
+    left = stored(group_arrow(texts.unionByName(met), ("bucket",), _survive(size, bound, rarity), BLOB), "join-left")
 
     families = _families(left, bound, max(64, total // (16 * BUCKET)))
     sets = map_arrow(left.where(F.col("kind") == SETS), _set_rows, "key binary, n long, tokens binary")

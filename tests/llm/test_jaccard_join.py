@@ -77,6 +77,24 @@ def test_large_groups_in_blocks(spark, size, num, den):
     assert got == brute(rows, size, num, den)
 
 
+def test_common_phrases_make_no_large_family(spark, monkeypatch):
+    """Short unrelated texts share phrases of common words with many others; that alone does not put them into one family."""
+    rng = random.Random(8)
+    common, weights = ["c%d" % i for i in range(12)], [1 / (i + 1) for i in range(12)]
+    rows = []
+    for i in range(500):
+        w = [rng.choices(common, weights)[0] if rng.random() < 0.6 else "r%d" % rng.randrange(10**9) for _ in range(rng.randint(20, 45))]
+        rows.append((2 * i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join([*w, "end"])))
+    large = []
+    monkeypatch.setattr(jaccard_join, "_large_families", lambda df, *_: large.append(df.count()) or df.selectExpr("key a", "key b").limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_join.join(docs, 3, 9, 10, 1500).collect()), key=str)
+    assert not large
+    assert got == brute(rows, 3, 9, 10)
+
+
 def test_asked_prefix_lengths_follow_cost():
     bound = jaccard_join.Bound(8, 10)
     places = np.arange(60)
