@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import lexicon as X
+from quillstone.functions import text as T
 
 
 def found(text: Column, patterns: tuple[str, ...]) -> Column:
     every = "|".join(f"(?:{p})" for p in patterns)
-    return F.regexp_extract_all(text, F.lit(f"(?iu){every}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(T.edged(f"(?iu){every}")), F.lit(0))
 
 
 def mentions(docs: DataFrame, classes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
