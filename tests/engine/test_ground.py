@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+from quillstone.functions import text as T
 from quillstone.operators import document_tasks, ground
+from quillstone.operators import ground as G
 
 
 def test_quotes_are_counted_whatever_their_number(spark):
@@ -26,3 +29,18 @@ def test_sentence_graph_goes_through_the_whole_text(monkeypatch):
     monkeypatch.setattr(document_tasks, "ROWS", 7)
     assert [c.extra for c in document_tasks.semantic_graph(text, hierarchical=True)] == [c.extra for c in more]
     assert [c.extra for c in document_tasks.semantic_graph(text)] == [c.extra for c in whole]
+
+
+def test_windows_of_long_texts_are_compared_in_their_rows(spark):
+    words = "a b c d e f g h \x1ci j k l m n o p".split(" ")
+    pairs = [(1, " ".join(words), " ".join(words[3:9])), (1, "x " + " ".join(words[:6]), "zz\x0bnothing*"), (2, 'one "two"\nthree\xa0four five', "one two three four five six"), (3, "too short", "too short"), (5, "a b c d e", None)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string, source string")
+    explode = lambda c: F.posexplode(G.windows(T.tokens(G.sanitise(F.col(c))))).alias("i", "w")
+    theirs = df.select("doc_id", explode("source")).select("doc_id", "w").distinct().withColumn("hit", F.lit(True))
+    want = df.select("doc_id", explode("text")).join(theirs, ["doc_id", "w"], "left").select("doc_id", "i", F.coalesce("hit", F.lit(False)).alias("hit"))
+    assert sorted(G.found_windows(df).collect()) == sorted(want.collect()) and want.where("hit").count() >= 3
+    counts = want.groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.count_if("hit").alias("n_found"))
+    assert sorted(G.window_counts(df).collect()) == sorted(counts.collect())
+    assert sorted(G.found_runs(df).collect()) == sorted(G.quote_runs(want).select("doc_id", "first", "n_words").collect())
+    plan = G.window_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
