@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -112,3 +113,16 @@ def test_sentence_graph_links_all_pairs_of_an_entity():
     mean = sum(edges.values()) / len(edges)
     assert got.extra == {"sentences": "8", "mean_weight": f"{mean:.4f}", "density": f"{2 * len(edges) / (size * (size - 1)):.4f}"}
     assert abs(got.confidence - min(mean, 1.0)) < 1e-9
+
+
+def test_patterns_are_only_tried_where_they_can_match():
+    rng = random.Random(2)
+    bits = "EUR CHF 500 1,000.50 , . € up to fino a 7 days within 3 hours insured requires covers for medical coverage trip delay if when İf ıf ſubject to not covered except means solo se purché è - ; limited K 5 USD".split(" ")
+    kinds = [*D._QUICK_SIGNAL.values(), *D._ENTITY.values(), *D._SENTENCE_ENTITY.values(), *D._RELATION.values()]
+    assert all(q.needs for q in kinds) and not any(q.may("thnd onre") for q in kinds)
+    for _ in range(300):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
+        for q in kinds:
+            assert q.search(text, D._lowered(text)) == bool(q.pattern.search(text))
+        for q in kinds[len(D._QUICK_SIGNAL) :]:
+            assert [m.group(0) for m in D.matches(q, D.stretches(text))] == [m.group(0) for m in q.pattern.finditer(text)]
